@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import groups, neighbours, quality, splitting
+from chronoweave.llm import groups, mixing, names, neighbours, packing, quality, splitting, tokens
 from chronoweave.plans.registry import Registry
 from chronoweave.session import checkpointed, table
 
@@ -29,6 +29,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, sf_dir, "event_log"), table(spark, sf_dir, "incident_envelopes"))
 
 
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(names.link_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_aliases")))
+
+
+@registry.add("p5_groups")
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every entity with variants."""
+    return names.link_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "entity_aliases"))
+
+
 _P6 = """
 WITH RECURSIVE links AS (SELECT DISTINCT e.entity_id AS a, e.merged_into AS b FROM entities e
     WHERE e.merged_into <> e.entity_id AND e.merged_into IN (SELECT entity_id FROM entities)),
@@ -54,6 +65,42 @@ def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "entities"), "entity_id", "embedding")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpointed(tokens.with_tokens(table(spark, sf_dir, "documents"), "doc_id", ["source"]))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = [(r["window_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "context_windows").orderBy("window_name").collect()]
+    return packing.pack(_sized(spark, sf_dir), windows)
+
+
+@registry.add("p8_packed")
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every text, or piece of an oversized one, in the containers of every context window."""
+    return _packed(spark, sf_dir)
+
+
+@registry.add("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_packed(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").orderBy("source").collect()]
+    return mixing.mix(_sized(spark, sf_dir), targets)
+
+
+@registry.add("p9_mixture")
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their numbers of uses."""
+    return _mixture(spark, sf_dir)
+
+
+@registry.add("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = checkpointed(quality.document_statistics(table(spark, sf_dir, "documents")))
     return quality.outlierness(stats, quality.robust_fit(stats))
