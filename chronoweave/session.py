@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,23 @@ def local_session(cpus: str | int = "*", memory: str = "8g", name: str = "chrono
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context: they may not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chronoweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chronoweave-")) / "chronoweave.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._chronoweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Parquet, a file or a directory of files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
