@@ -80,7 +80,7 @@ def fit_counts(lengths: list[tuple[int, int]], budget: int, seed: int = 0, reser
     """How many documents of each length to take, summing to ``budget`` or as closely below it as the knapsack finds.
 
     First the same share of every length, rounded down. Further documents, in a seeded order of the lengths, until at
-    most ``reserve`` tokens remain; if less than half of that remains, the shortest are given back. Then the knapsack.
+    most half of ``reserve`` remains; the shortest are given back until the reserve is full. Then the knapsack over it.
     """
     total = sum(a * n for a, n in lengths)
     if budget >= total:
@@ -90,14 +90,14 @@ def fit_counts(lengths: list[tuple[int, int]], budget: int, seed: int = 0, reser
     number = dict(lengths)
     order = sorted(number, key=lambda a: (xxhash.xxh64_intdigest(str(a), seed), a))
     for a in order:
-        if rest <= reserve:
+        if rest <= reserve // 2:
             break
-        more = min(number[a] - taken[a], (rest - reserve // 2) // a)
+        more = min(number[a] - taken[a], max(0, rest - reserve // 4) // a)
         if more > 0:
             taken[a] += more
             rest -= more * a
     for a in sorted(order):
-        while taken[a] and rest < reserve // 2 and rest + a <= reserve:
+        while taken[a] and rest + a <= reserve:
             taken[a] -= 1
             rest += a
     left = [(a, number[a] - taken[a]) for a in order if number[a] > taken[a] and a <= rest]
