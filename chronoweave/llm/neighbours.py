@@ -40,16 +40,22 @@ def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = DIMENSIO
     return vectors.filter(fine).groupBy(key).agg(F.max(v.cast("array<double>")).alias("vec"))
 
 
-def classes(rows: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors of equal direction (to 6 decimals) as classes, and each member's class.
+def with_direction(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__h``, 128 bits of hash of the vector's direction to 6 decimals."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.zip_with("vec", F.array_repeat(norm, F.size("vec")), lambda x, n: F.rint(x / n * 1e6).cast("long"))
+    return rows.withColumn("__u", unit).withColumn("__h", F.concat_ws(":", F.xxhash64("__u"), F.xxhash64(F.lit(1), "__u"))).drop("__u")
+
+
+def classes(unit: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors of equal direction (:func:`with_direction`) as classes, and each member's class.
 
     First: ``rep`` (the smallest key), ``vec`` (its), ``ids`` (the k + 1 smallest keys). Second: ``key``, ``rep``.
     The row_number limit is applied before the shuffle, so a class with a large part of all rows is reduced first.
     """
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    unit = rows.withColumn("__h", F.sha2(F.transform("vec", lambda x: F.round(x / norm, 6) + F.lit(0.0)).cast("string"), 256))
     few = unit.withColumn("__r", F.row_number().over(Window.partitionBy("__h").orderBy(key))).filter(F.col("__r") <= k + 1)
     reps = few.groupBy("__h").agg(F.array_sort(F.collect_list(key)).alias("ids"), F.min_by("vec", key).alias("vec")).withColumn("rep", F.col("ids")[0])
+    reps = checkpointed(reps)
     members = skew_safe_lookup(unit.select(key, "__h"), reps.select("__h", "rep", "ids"), ["__h"], how="inner")
     return reps.select("rep", "vec", "ids"), members.select(key, "rep", "ids")
 
@@ -179,9 +185,8 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: i
     smallest keys of their class.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
-    rows = checkpointed(usable(vectors, key, vector, dimensions))
+    rows = checkpointed(with_direction(usable(vectors, key, vector, dimensions)))
     reps, members = classes(rows, key, k)
-    reps = checkpointed(reps)
     n = reps.count()
     id_type = dict(rows.dtypes)[key]
     if n:
@@ -199,6 +204,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: i
         near = posted.groupBy("pivot", "part").applyInPandas(search(candidates, k, kind), f"rep {id_type}, near array<{id_type}>, sims array<double>")
         pairs = near.select("rep", F.explode(F.arrays_zip("near", "sims")).alias("n")).groupBy("rep", F.col("n.near").alias("near")).agg(F.max("n.sims").alias("sim"))
         best = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "near"))).filter(F.col("__r") <= k)
+        best = checkpointed(best)
         others = skew_safe_lookup(best, reps.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids")), ["near"], how="inner").select("rep", "sim", F.explode(F.slice("near_ids", 1, k)).alias("other"))
     else:
         others = rows.sparkSession.createDataFrame([], f"rep {id_type}, sim double, other {id_type}")
