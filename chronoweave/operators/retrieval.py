@@ -16,7 +16,7 @@ RRF_K = 60
 
 def ranked(candidates: DataFrame, channel: str, *order: Column, limit: int = 40) -> DataFrame:
     """``fact_id``, ``channel``, ``rank``: the first ``limit`` candidates by a total order (a top-k, not a full sort)."""
-    top = candidates.orderBy(*order, "fact_id").limit(limit)
+    top = candidates.orderBy(*order, "fact_id").limit(limit)  # so few rows that one task may number them
     return top.select("fact_id", F.lit(channel).alias("channel"), F.row_number().over(Window.orderBy(*order, "fact_id")).alias("rank"))
 
 
@@ -49,7 +49,7 @@ def bm25(documents: DataFrame, key: str, text: str, query: str, k1: float = 1.2,
     scored = hits.join(F.broadcast(df), "q").crossJoin(F.broadcast(whole))  # as many rows as the query has words, and one
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
 def lexical_channel(named: DataFrame, query: str, limit: int = 40) -> DataFrame:
@@ -57,7 +57,7 @@ def lexical_channel(named: DataFrame, query: str, limit: int = 40) -> DataFrame:
     text = named.withColumn("__t", fact_text())
     hit = text.filter(has_all_words("__t", F.lit(query)) | F.contains(F.lower("__t"), F.lit(query.lower())))
     score = bm25(text, "fact_id", "__t", query)
-    return ranked(hit.select("fact_id").join(score, "fact_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "lexical", F.desc("score"), limit=limit)
+    return ranked(hit.select("fact_id").join(score, "fact_id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)), "lexical", F.desc("score"), limit=limit)
 
 
 def graph_channel(graph: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 40) -> DataFrame:
@@ -77,7 +77,7 @@ def synonym_channel(named: DataFrame, synonyms: DataFrame, query: str, limit: in
         hit = text.filter(F.forall("groups", lambda g: F.forall(g, lambda x: F.array_contains("w", x))))
     else:
         hit = text.filter(F.forall("groups", lambda g: F.arrays_overlap(F.col("w"), g)))
-    return ranked(hit, "synonym", F.lit(0), limit=limit)
+    return ranked(hit, "synonym", F.col("fact_id"), limit=limit)
 
 
 def name_channel(facts: DataFrame, entities: DataFrame, aliases: DataFrame, question: str, per_name: int = 5, limit: int = 40) -> DataFrame:

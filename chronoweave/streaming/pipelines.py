@@ -31,15 +31,16 @@ def deduplicated(events: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions per scope as windows of inactivity. A gap of exactly the length doesn't split, as in the batch operator:
-    the window is a microsecond longer. Late events within the watermark merge sessions."""
+    """Sessions per scope as windows of inactivity. A gap of exactly the length doesn't split, as in the batch operator.
+    Late events within the watermark merge sessions."""
     rows = events.filter(~F.coalesce("excluded_from_recall", F.lit(False)) & F.col("observed_at").isNotNull()).withWatermark("observed_at", late)
-    out = rows.groupBy("scope", F.session_window("observed_at", f"{gap} 1 microsecond").alias("w")).agg(F.min("observed_at").alias("start"), F.max("observed_at").alias("end"), F.count(F.lit(1)).alias("n_events"))
+    out = rows.groupBy("scope", F.session_window("observed_at", gap).alias("w")).agg(F.min("observed_at").alias("start"), F.max("observed_at").alias("end"), F.count(F.lit(1)).alias("n_events"))
     return out.select("scope", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n_events")
 
 
 def interval_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Merged periods per key as a stream (update mode): ``keys``, ``starts``, ``ends`` after each micro-batch.
+    """Merged periods per key as a stream (update mode): ``keys``, ``n_rows`` so far, ``starts`` and ``ends`` of the
+    periods after each micro-batch.
 
     ``rows``: keys, ``from_us``, ``to_us`` (null: open). Keyed state holds the ordered map of disjoint intervals; each
     insertion finds its overlaps by binary search. State has no time limit: late intervals are never dropped.
@@ -47,18 +48,20 @@ def interval_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        held = IntervalMap(*state.get) if state.exists else IntervalMap()
+        n, starts, ends = state.get if state.exists else (0, (), ())
+        held = IntervalMap(starts, ends)
         for batch in batches:
             for start, end in zip(batch["from_us"], batch["to_us"], strict=True):
                 if not pd.isna(start):
                     held.insert(int(start), OPEN if pd.isna(end) else int(end))
-        state.update((held.starts, held.ends))
-        yield pd.DataFrame([(*key, held.starts, held.ends)], columns=[*keys, "starts", "ends"])
+                    n += 1
+        state.update((n, held.starts, held.ends))
+        yield pd.DataFrame([(*key, n, held.starts, held.ends)], columns=[*keys, "n_rows", "starts", "ends"])
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", starts array<long>, ends array<long>"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", n_rows long, starts array<long>, ends array<long>"
     # Exact longs survive pandas only as nullable integers, so null ends become the open end before.
     whole = rows.select(*keys, "from_us", F.coalesce("to_us", F.lit(OPEN)).alias("to_us")).filter(F.col("from_us").isNotNull())
-    return whole.groupBy(*keys).applyInPandasWithState(step, schema, "starts array<long>, ends array<long>", "update", "NoTimeout")
+    return whole.groupBy(*keys).applyInPandasWithState(step, schema, "n long, starts array<long>, ends array<long>", "update", "NoTimeout")
 
 
 def supersession_stream(assertions: DataFrame, keys: list[str]) -> DataFrame:
