@@ -127,13 +127,14 @@ class Ordered:
         return self.df.drop(CHUNK)
 
 
-def skew_safe_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS, how: str = "left") -> DataFrame:
+def skew_safe_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int = MIN_HOT_ROWS, how: str = "left", n_rows: int | None = None) -> DataFrame:
     """``left`` joined to ``right``, which has at most one row per key, without sending a hot key of ``left`` to one task.
 
     The rows of hot keys (see :func:`hot_keys`, at most ``MAX_HOT`` keys) meet a broadcast of just those rows of
-    ``right``; all others take the ordinary join. Keys must not be null on the right.
+    ``right``; all others take the ordinary join. Keys must not be null on the right. A caller that knows how many rows
+    ``left`` has says so in ``n_rows``: no key can be hot if there are no more than ``min_rows``.
     """
-    hot = hot_keys(left, keys, min_rows)
+    hot = None if n_rows is not None and n_rows <= min_rows else hot_keys(left, keys, min_rows)
     if hot is None:
         return left.join(right, list(keys), how)
     few = F.broadcast(right.join(F.broadcast(hot.drop("__n")), list(keys), "left_semi"))

@@ -14,7 +14,7 @@ from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
 from chronoweave.plans.registry import Registry
-from chronoweave.session import table
+from chronoweave.session import checkpointed, table
 from chronoweave.sources.ingest import pack_stream
 from chronoweave.streaming import pipelines
 
@@ -204,7 +204,9 @@ def question_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = (_live(spark, sf_dir), entities(spark, sf_dir), table(spark, sf_dir, "entity_aliases"), edges_of(spark, sf_dir), _named(spark, sf_dir))
+    # What several channels read is made once.
+    things, live = checkpointed(entities(spark, sf_dir)), checkpointed(_live(spark, sf_dir))
+    args = (live, things, table(spark, sf_dir, "entity_aliases"), edges_of(spark, sf_dir), checkpointed(with_names(live, things)))
     return ret.recall(*args, QUESTION, _probe(spark, sf_dir), ANCHOR)
 
 
