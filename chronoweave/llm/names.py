@@ -54,7 +54,7 @@ NICKNAMES = {
     "jurgen": "jurg jorg juri",
     "katarzyna": "kasia kaska kasienka",
     "laszlo": "laci",
-    "margaret": "maggie peggy meg greta marge madge daisy",
+    "margaret": "maggie peggy peg meg greta marge madge daisy",
     "matthew": "matt matty",
     "michael": "mike mick mickey mikey micha",
     "nicholas": "nick nicky",
@@ -93,9 +93,12 @@ def plain(name: str) -> str:
 
 
 def letters(token: str) -> str:
-    """A token with the digits read as the letters they look like, and umlauts in one spelling."""
-    if any(c.isalpha() for c in token):
-        token = token.translate(str.maketrans("015", "ols"))
+    """A token with the digits read as the letters they look like."""
+    return token.translate(str.maketrans("015", "ols")) if any(c.isalpha() for c in token) else token
+
+
+def without_umlauts(token: str) -> str:
+    """Umlauts in one spelling: ue, oe and ae lose the e."""
     return re.sub("(?<=[uoa])e", "", token)
 
 
@@ -135,20 +138,26 @@ def neighbourhood(token: str, prefix: int = PREFIX, most: int = 2) -> set[str]:
 _FORMAL: dict[str, set[str]] = {}
 for _name, _short in NICKNAMES.items():
     for _x in (_name, *_short.split()):
-        _FORMAL.setdefault(letters(_x), set()).add(letters(_name))
+        for _y in (_x, without_umlauts(_x)):
+            _FORMAL.setdefault(_y, set()).add(without_umlauts(_name))
 
 
 @lru_cache(maxsize=100_000)
 def givens(token: str) -> frozenset[str]:
-    """The given names that a token may stand for: itself, a nickname or a misspelling of one; empty if it is none."""
-    if token in _FORMAL:
-        return frozenset(_FORMAL[token])
-    if len(token) < 4:
-        return frozenset()
-    most = 2 if len(token) >= 6 else 1
-    best, found = most + 1, set()
+    """The given names that a token may stand for: itself, a nickname or a misspelling of one; empty if it is none.
+
+    One error is permitted from 4 letters, two in names of 6 if at least 5 letters are there; the nearest names count.
+    """
+    for spelt in (token, without_umlauts(token)):
+        if spelt in _FORMAL:
+            return frozenset(_FORMAL[spelt])
+    best, found = 3, set()
     for known, names in _FORMAL.items():
-        if len(known) >= 4 and abs(len(known) - len(token)) <= most and (d := distance(token, known, best)) <= min(best, most):
+        most = 2 if len(token) >= 5 and len(known) >= 6 else 1
+        if min(len(known), len(token)) < 4:
+            continue
+        d = distance(token, known, min(best, most))
+        if d <= min(best, most):
             if d < best:
                 best, found = d, set()
             found |= names
@@ -172,8 +181,8 @@ def parse_person(name: str) -> tuple[str, str, str]:
     if len(long) == 1:
         token = long[0]
         if short:
-            return "weak", short[0], token
-        return ("weak", token[0], token[1:]) if len(token) > 4 and not givens(token) else ("none", "", "")
+            return "weak", short[0], without_umlauts(token)
+        return ("weak", token[0], without_umlauts(token[1:])) if len(token) > 4 and not givens(token) else ("none", "", "")
     known = [t for t in long if givens(t)]
     exact = [t for t in known if t in _FORMAL]
     given = (exact or known or [long[-1] if comma else long[0]])[-1 if comma else 0]
@@ -181,8 +190,8 @@ def parse_person(name: str) -> tuple[str, str, str]:
         given = long[-1] if comma else long[0]
     rest = list(long)
     rest.remove(given)
-    surname = "".join(rest)
-    names = sorted(givens(given)) or [given]
+    surname = without_umlauts("".join(rest))
+    names = sorted(givens(given)) or [without_umlauts(given)]
     return ("full", names[0], surname) if len(names) == 1 else ("weak", "|".join(names), surname)
 
 
@@ -213,7 +222,7 @@ def parse_organisation(name: str) -> tuple[str, str, str]:
         return "handle", "", raw[0]
     tokens = [letters(t) for t in raw if t not in LEGAL]
     lines = {w for t in tokens if (w := trade_word(t))}
-    brand = "".join(t for t in tokens if not trade_word(t))
+    brand = without_umlauts("".join(t for t in tokens if not trade_word(t)))
     return ("full", "|".join(sorted(lines)), brand) if brand else ("none", "", "")
 
 
