@@ -27,7 +27,8 @@ def episodes(events: DataFrame, gap_seconds: int = 1800, taken: DataFrame | None
     before = F.lag("last").over(w)
     starts = bins.withColumn("start", F.when(before.isNull() | (F.col("first") - before > width), F.col("first")))
     starts = starts.withColumn("start", F.last("start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    free = timed.join(starts.select("scope", "__bin", "start"), ["scope", "__bin"]).withColumn("episode_id", F.sha2(F.concat_ws("|", F.lit("time"), "scope", F.col("start").cast("string")), 256))
+    found = starts.select(F.col("scope").alias("__scope"), F.col("__bin").alias("__b"), "start")
+    free = timed.join(found, F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("__bin") == F.col("__b"))).withColumn("episode_id", F.sha2(F.concat_ws("|", F.lit("time"), "scope", F.col("start").cast("string")), 256))
     cases = rows.filter(F.col("case_id").isNotNull()).withColumn("episode_id", F.sha2(F.concat_ws("|", F.lit("case"), "scope", "case_id"), 256))
     columns = ["episode_id", "event_id", "scope", "case_id", "observed_actor", "context", "__us"]
     members = free.select(*columns).unionByName(cases.select(*columns))

@@ -23,7 +23,7 @@ def literal(value: str = "object_value") -> Column:
 
 def object_key() -> Column:
     """What a fact says of its subject: the entity or the literal."""
-    return F.concat_ws(":", "object_type", F.coalesce("object_entity_id", literal(), F.lit("")))
+    return F.concat_ws(":", F.coalesce("object_type", F.lit("")), F.coalesce("object_entity_id", literal(), F.lit("")))
 
 
 def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.facts import literal
+from chronoweave.operators.facts import object_key
+from chronoweave.operators.ordered import MIN_HOT_ROWS, skew_safe_lookup
 
 
 def forget(facts: DataFrame, selector: Column, at: str | datetime) -> DataFrame:
@@ -55,17 +56,19 @@ def methylate(events: DataFrame, now: str | datetime, days: int = 30) -> DataFra
     return events.withColumn("methylated_at", F.when(due, at).otherwise(F.col("methylated_at"))).withColumn("excluded_from_recall", due | F.coalesce("excluded_from_recall", F.lit(False)))
 
 
-def consolidate(facts: DataFrame, now: str | datetime, min_age_hours: int = 24) -> DataFrame:
+def consolidate(facts: DataFrame, now: str | datetime, min_age_hours: int = 24, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """``fact_id`` of live facts that repeat a newer one: same scope, subject, predicate and object. Groups with a fact
     extracted before ``now`` less the age twice or more are treated; their newest valid_from stays (ties: smallest id).
+    ``facts`` has one row per fact_id. The newest comes from an aggregation, so that no triple is sorted in one task.
     """
     at = F.lit(now).cast("timestamp")
-    live = facts.filter(F.col("recorded_to").isNull() & F.col("valid_to").isNull())
-    triple = ["scope", "subject_id", "predicate", "object_type", "__e", "__v"]
-    rows = live.withColumn("__e", F.coalesce("object_entity_id", F.lit(""))).withColumn("__v", F.coalesce(literal(), F.lit("")))
+    live = facts.filter(F.col("recorded_to").isNull() & F.col("valid_to").isNull() & F.col("scope").isNotNull() & F.col("subject_id").isNotNull() & F.col("predicate").isNotNull())
+    triple = ["scope", "subject_id", "predicate", "__o"]
+    rows = live.withColumn("__o", object_key()).withColumn("__age", F.struct(F.coalesce(-F.unix_micros("valid_from"), F.lit(2**63 - 1)).alias("u"), "fact_id"))
     old = F.col("extracted_at") < at - F.expr(f"INTERVAL {int(min_age_hours)} HOURS")
-    counted = rows.withColumn("__old", F.sum(old.cast("int")).over(Window.partitionBy(*triple))).withColumn("__r", F.row_number().over(Window.partitionBy(*triple).orderBy(F.desc_nulls_last("valid_from"), "fact_id")))
-    return counted.filter((F.col("__old") > 1) & (F.col("__r") > 1)).select("fact_id")
+    newest = rows.groupBy(*triple).agg(F.min("__age").alias("__newest"), F.count_if(old).alias("__old")).filter(F.col("__old") > 1)
+    met = skew_safe_lookup(rows.select(*triple, "fact_id"), newest, triple, min_rows, "inner")
+    return met.filter(F.col("fact_id") != F.col("__newest.fact_id")).select("fact_id")
 
 
 def claimable(jobs: DataFrame, now: str | datetime, n: int) -> DataFrame:

@@ -134,10 +134,14 @@ def rerank(named: DataFrame, fused: DataFrame, query: str, top: int = 25, least:
 
 
 def within_budget(items: DataFrame, order: list[str], tokens: str, budget: int, keys: list[str] | None = None) -> DataFrame:
-    """The first items, per key, whose tokens fit the budget; the first one always. The running sum stops counting where
-    the budget is passed, so rows beyond it are dropped whatever their size."""
+    """The first items, per key, whose tokens (at least 1 each) fit the budget; the first one always.
+
+    No more items than the budget has tokens can fit, so a row_number limit, which is applied before the shuffle, leaves
+    a bounded number per key for the running sum. ``order`` must be total.
+    """
     w = Window.partitionBy(*(keys or [])).orderBy(*order)
-    summed = items.withColumn("used", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
+    few = items.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(1, budget))
+    summed = few.withColumn("used", F.sum(tokens).over(Window.partitionBy(*(keys or [])).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     return summed.filter((F.col("rank") == 1) | (F.col("used") <= budget))
 
 

@@ -14,6 +14,7 @@ from chronoweave.functions.text import fact_text
 from chronoweave.functions.temporal import micros
 from chronoweave.operators.facts import belief_log, coerce, conflicts, literal, supersede, superseding, with_names
 from chronoweave.operators.history import SINGLE_VALUED
+from chronoweave.operators.ordered import Ordered
 from chronoweave.plans.common import AREA, CAUSAL_SQL, ELIGIBLE_SQL, ENTITIES, EVENTS, FACTS, LATER, SCOPE, THEN, entities, events, facts, ts
 from chronoweave.plans.registry import Registry
 from chronoweave.sources.ingest import missing_scopes, scopes_of
@@ -139,11 +140,9 @@ def facts_belief_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT subject_id, predicate, fact_id, row_number() OVER (PARTITION BY subject_id, predicate ORDER BY valid_from, recorded_from, fact_id) AS version FROM {FACTS} WHERE predicate IN ('has_status', 'qual_level') AND recorded_to IS NULL",
 )
 def facts_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("subject_id", "predicate").orderBy("valid_from", "recorded_from", "fact_id")
-    rows = facts(spark, sf_dir).filter(F.col("predicate").isin("has_status", "qual_level") & F.col("recorded_to").isNull())
-    return rows.select("subject_id", "predicate", "fact_id", F.row_number().over(w).alias("version"))
+    rows = facts(spark, sf_dir).filter(F.col("predicate").isin("has_status", "qual_level") & F.col("recorded_to").isNull()).withColumn("one", F.lit(1))
+    numbered = Ordered(rows.select("subject_id", "predicate", "valid_from", "recorded_from", "fact_id", "one"), ["subject_id", "predicate"], ["valid_from", "recorded_from", "fact_id"]).running_sum("one", "version")
+    return numbered.result().select("subject_id", "predicate", "fact_id", "version")
 
 
 @registry.add(

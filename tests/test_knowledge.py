@@ -110,6 +110,8 @@ def test_idempotent_ingest(spark):
     df = spark.createDataFrame([("s", "m", c, "{}", k, n, "x") for k, n, c in rows], "scope string, modality string, content string, context string, idempotency_key string, wal_offset long, body string")
     got = {r.wal_offset: r.status for r in ingest.admitted(df, ["wal_offset"]).collect()}
     assert got == {1: "accepted", 2: "duplicate", 3: "conflict", 4: "accepted", 5: "accepted", 6: "accepted", 7: "accepted", 8: "duplicate"}
+    cut = ingest.admitted(df.unionAll(df.filter("wal_offset = 4")), ["wal_offset"], min_rows=1)
+    assert sorted((r.wal_offset, r.status) for r in cut.collect()) == sorted([*got.items(), (4, "duplicate")])
     assert rows_of(ingest.key_conflicts(df)) == {("s", "k1", 2)}
     assert rows_of(ingest.progress(ingest.admitted(df, ["wal_offset"]))) == {("s", 8, 5, 1)}
     assert ingest.admitted(df.limit(0), ["wal_offset"]).count() == 0
