@@ -23,14 +23,14 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
 
 
-def large_star(edges: DataFrame, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def large_star(edges: DataFrame, min_rows: int = MIN_HOT_ROWS, n_rows: int | None = None) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
-    return skew_safe_lookup(edges, least, ["lo"], min_rows).select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+    return skew_safe_lookup(edges, least, ["lo"], min_rows, n_rows=n_rows).select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
 
 
-def small_star(edges: DataFrame, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def small_star(edges: DataFrame, min_rows: int = MIN_HOT_ROWS, n_rows: int | None = None) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    met = skew_safe_lookup(edges, least, ["hi"], min_rows, "inner")
+    met = skew_safe_lookup(edges, least, ["hi"], min_rows, "inner", n_rows)
     return met.select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).distinct()
 
 
@@ -40,14 +40,15 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 60, min
     Pairs count in either direction and once however often they are repeated; a pair with itself or with null links
     nothing; other columns are ignored. An empty table gives no rows. The ids may be of any type that has an order.
     """
+    measure = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
     edges = checkpointed(_directed(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))))
-    mark = None
+    mark = measure(edges)
     for _ in range(max_rounds):
-        edges = checkpointed(small_star(large_star(edges, min_rows), min_rows))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        # Neither rewrite adds edges, so the count rules hot keys out for the whole round.
+        edges = checkpointed(small_star(large_star(edges, min_rows, mark[0]), min_rows, mark[0]))
+        before, mark = mark, measure(edges)
+        if mark == before:
             break
-        mark = tuple(now)
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     roots = edges.select("lo").distinct()
