@@ -176,12 +176,12 @@ def search(candidates: int, k: int, kind: str):
     return run
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: int = DIMENSIONS, prefix: int = 32, posts: int = 12, candidates: int = 400, pivots: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: int = DIMENSIONS, prefix: int = 32, posts: int = 16, candidates: int = 1000, pivots: int | None = None) -> DataFrame:
     """``key``, ``other``, ``similarity``, ``rank``: the k most similar vectors of every usable vector.
 
     Similarity is the cosine rounded to 6 decimals; ties go to the smaller key. Unusable vectors are in no row. With
     fewer than k + 1 usable vectors each has all others; with one or none there is no row. ``pivots`` defaults to
-    0.27 n^0.75, at least 8 and at most ``MAX_PIVOTS``. Members of a class of k + 1 or more equal vectors have the
+    0.2 n^0.75, at least 8 and at most ``MAX_PIVOTS``. Members of a class of k + 1 or more equal vectors have the
     smallest keys of their class.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
@@ -190,7 +190,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: i
     n = reps.count()
     id_type = dict(rows.dtypes)[key]
     if n:
-        marks = sample_pivots(reps, min(MAX_PIVOTS, max(8, pivots or int(0.27 * n**0.75))))
+        marks = sample_pivots(reps, min(MAX_PIVOTS, max(8, pivots or int(0.2 * n**0.75))))
         bound = rows.sparkSession.sparkContext.broadcast(marks)
         width = min(prefix, len(marks))
         given = reps.select("rep", "vec")
