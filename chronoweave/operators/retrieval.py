@@ -103,6 +103,11 @@ def fuse(channels: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("fact_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.count(F.lit(1)).alias("n_channels"))
 
 
+def best_ranks(channels: list[DataFrame]) -> DataFrame:
+    """``fact_id``, ``rank``: each fact once, at its best rank in any of the lists (several forms of one question)."""
+    return reduce(DataFrame.unionByName, channels).groupBy("fact_id").agg(F.min("rank").alias("rank"))
+
+
 def salience(facts: DataFrame, events: DataFrame, weight: float = 1.0) -> DataFrame:
     """``fact_id``, ``bonus``: weight times a tenth of the largest access_count of the supporting events."""
     links = facts.select("fact_id", F.explode("supports").alias("event_id")).join(events.select("event_id", "access_count"), "event_id")

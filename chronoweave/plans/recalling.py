@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from chronoweave.functions.temporal import current, micros
 from chronoweave.functions.text import chunk_documents, extract_triples, query_names, token_estimate, trigram_similarity, words
 from chronoweave.operators import governance as gov
+from chronoweave.operators import identity, tables
 from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
 from chronoweave.plans.registry import Registry
 from chronoweave.session import checkpointed, table
-from chronoweave.sources.ingest import pack_stream
+from chronoweave.sources.ingest import chunk_envelopes, pack_stream
 from chronoweave.streaming import pipelines
 
 registry = Registry()
@@ -137,10 +138,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.nearest_entities(entities(spark, sf_dir), _probe(spark, sf_dir))
 
 
-_CHAN_LEXICAL = f"""SELECT fact_id, 'lexical' AS channel, row_number() OVER (ORDER BY score DESC, fact_id) AS rank FROM (WITH d AS (SELECT fact_id, t, {_WORDS.format('t')} AS w FROM {_NAMED}), q AS (SELECT unnest(['status', 'alarm']) AS q),
+
+def _lexical_sql(*asked: str) -> str:
+    listed = "[" + ", ".join(f"'{w}'" for w in asked) + "]"
+    return f"""SELECT fact_id, 'lexical' AS channel, row_number() OVER (ORDER BY score DESC, fact_id) AS rank FROM (WITH d AS (SELECT fact_id, t, {_WORDS.format('t')} AS w FROM {_NAMED}), q AS (SELECT unnest({listed}) AS q),
     whole AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), h AS (SELECT * FROM (SELECT fact_id, q, len(list_filter(w, lambda x: x = q)) AS tf, len(w) AS l FROM d, q) WHERE tf > 0), df AS (SELECT q, count(*) AS df FROM h GROUP BY q),
     s AS (SELECT fact_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN df USING (q), whole GROUP BY fact_id)
-    SELECT d.fact_id, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (fact_id) WHERE list_has_all(w, ['status', 'alarm']) OR contains(lower(t), 'status alarm')) QUALIFY rank <= 40"""
+    SELECT d.fact_id, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (fact_id) WHERE list_has_all(w, {listed}) OR contains(lower(t), '{" ".join(asked)}')) QUALIFY rank <= 40"""
+
+
+_CHAN_LEXICAL = _lexical_sql("status", "alarm")
 
 
 @registry.add("chan_lexical", _CHAN_LEXICAL)
@@ -348,6 +355,68 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gov.stage_latency(cycle)
 
 
+_CYCLE = f"""(SELECT event_id, scope, 'captured' AS kind, observed_at AS ts, 'c-' || event_id AS lifecycle_id FROM {EVENTS} WHERE observed_at IS NOT NULL UNION ALL SELECT event_id, scope, 'indexed', recorded_at, 'i-' || event_id FROM {EVENTS})"""
+
+
+def _cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    a = rows.filter(F.col("observed_at").isNotNull()).select("event_id", "scope", F.lit("captured").alias("kind"), F.col("observed_at").alias("ts"), F.concat(F.lit("c-"), "event_id").alias("lifecycle_id"))
+    return a.unionByName(rows.select("event_id", "scope", F.lit("indexed").alias("kind"), F.col("recorded_at").alias("ts"), F.concat(F.lit("i-"), "event_id").alias("lifecycle_id")))
+
+
+@registry.add("lifecycle_latest", f"SELECT event_id, arg_max(kind, (ts, lifecycle_id)) AS kind, max(epoch_us(ts)) AS ts_us FROM {_CYCLE} GROUP BY 1")
+def lifecycle_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.latest_stage(_cycle(spark, sf_dir)).select("event_id", "kind", F.unix_micros("ts").alias("ts_us"))
+
+
+@registry.add("lifecycle_read", f"SELECT lifecycle_id, kind FROM {_CYCLE} WHERE ts > {ts('2026-02-15 00:00:00')} AND scope = '{SCOPE}' ORDER BY ts, lifecycle_id LIMIT 100")
+def lifecycle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next page of a scope's lifecycle after a cursor."""
+    return tables.lifecycle_after(_cycle(spark, sf_dir), "2026-02-15 00:00:00", "~", 100, SCOPE).select("lifecycle_id", "kind")
+
+
+@registry.add("erasure_breakdown", f"SELECT scope, count(*) FILTER (WHERE action = 'delete') AS events_to_delete, count(*) FILTER (WHERE action = 'redact') AS events_to_redact FROM {_MANIFEST} GROUP BY 1")
+def erasure_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda a: F.count_if(F.col("action") == a)
+    return _manifest(spark, sf_dir).groupBy("scope").agg(count("delete").alias("events_to_delete"), count("redact").alias("events_to_redact"))
+
+
+@registry.add(
+    "vocab_changes",
+    "SELECT name, canonical_value, CASE WHEN name = 'qual_level' THEN 'open' ELSE kind END AS kind, len(aliases) AS n_aliases FROM vocabulary_values WHERE name <> 'running_recipe' UNION ALL SELECT 'deal_stage', 'signed', 'closed', 1",
+)
+def vocab_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary after changes: one opened, one removed, a value added."""
+    rows = table(spark, sf_dir, "vocabulary_values").select("name", "canonical_value", "kind", "aliases")
+    opened = rows.filter(F.col("name") == "qual_level").withColumn("kind", F.lit("open"))
+    added = spark.createDataFrame([("deal_stage", "signed", "closed", ["won"])], rows.schema)
+    out = tables.upsert(rows, opened.unionByName(added), ["name", "canonical_value"])
+    gone = rows.filter(F.col("name") == "running_recipe")
+    return tables.remove(out, gone, ["name"]).select("name", "canonical_value", "kind", F.size("aliases").cast("long").alias("n_aliases"))
+
+
+@registry.add("queries_union", f"SELECT fact_id, min(rank) AS rank FROM ({_CHAN_LEXICAL} UNION ALL {_lexical_sql('part', 'of')}) GROUP BY 1")
+def queries_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several forms of a question: each fact once, at its best rank."""
+    named = _named(spark, sf_dir)
+    return ret.best_ranks([ret.lexical_channel(named, "status alarm"), ret.lexical_channel(named, "part of")])
+
+
+@registry.add("entity_resolve")
+def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What linking makes of every alias as a mention: the branch and the entity."""
+    things = entities(spark, sf_dir)
+    mentions = table(spark, sf_dir, "entity_aliases").join(things.select("entity_id", "entity_type", F.col("identity_context").alias("context"), "embedding"), "entity_id")
+    mentions = mentions.select("scope", F.col("alias").alias("name"), "entity_type", "context", "embedding", F.unix_micros("created_at").alias("ordinal"))
+    return identity.resolve(mentions, things, table(spark, sf_dir, "entity_aliases"))
+
+
+@registry.add("chunk_ingest")
+def chunk_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes of the documents' chunks."""
+    return chunk_envelopes(chunk_documents(table(spark, sf_dir, "documents")), SCOPE)
+
+
 # Streams, run to the end of what there is.
 
 
