@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
 from chronoweave.plans.registry import Registry
-from chronoweave.session import checkpointed, table
+from chronoweave.session import checkpointed, shared_folder, table
 from chronoweave.sources.ingest import chunk_envelopes, pack_stream
 from chronoweave.streaming import pipelines
 
@@ -425,7 +425,8 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _collected(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    return pipelines.run_once(stream, mode, f"{name}_{abs(hash(tempfile.mktemp())) % 10**9}", tempfile.mkdtemp(prefix="chronoweave-stream-"))
+    run = uuid.uuid4().hex
+    return pipelines.run_once(stream, mode, f"{name}_{run}", f"{shared_folder(stream.sparkSession)}/stream-{run}")
 
 
 @registry.add("stream_dedup", "SELECT DISTINCT event_id FROM event_log WHERE event_id IS NOT NULL")

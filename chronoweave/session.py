@@ -45,16 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that its lineage ends there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, local mode) a
-    temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only where that is unset, in local mode (tests), a
+    temporary folder is taken."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         wanted = sc.getConf().get("spark.checkpoint.dir")
         if wanted is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="chronoweave-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that its lineage ends there and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
