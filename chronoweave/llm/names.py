@@ -81,8 +81,10 @@ LEGAL = frozenset("ltd limited llc inc incorporated gmbh gesellschaft mbh ag akt
 TRADE = tuple("instruments process engineering gas delivery materials coatings precision optics systems vacuum thermal controls semiconductor services technologies solutions group holding international industries electronics components supplies chemicals automation metrology equipment software laboratories logistics consulting".split())
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a", "œ": "o", "ı": "i"})
 OPAQUE = re.compile(r"[a-z]+\d{2,}$")
-SEP = "\x1f"
+SEP, BETWEEN = "\x1f", "\x1e"
 PREFIX = 8
+#: Forms of a key from which on it is met together with a key of another token of the name.
+HOT = 50
 
 
 def plain(name: str) -> str:
@@ -128,6 +130,17 @@ def allowed(a: str, b: str) -> int:
     return 2 if n >= 9 else 1 if n >= 5 else 0
 
 
+def deletions(token: str) -> int:
+    """The most errors that ``allowed`` permits (or ``slipped``, in short tokens) between a token and any other."""
+    return 2 if len(token) >= 7 else 1 if len(token) >= 4 else 0
+
+
+def slipped(a: str, b: str) -> bool:
+    """Whether short tokens (of 3 or 4 letters) differ by a letter put in or two swapped inside, with the ends the same."""
+    swapped = len(a) == len(b) == 4 and a[1:3] == b[2:0:-1]
+    return a != b and 3 <= min(len(a), len(b)) and max(len(a), len(b)) == 4 and (a[0], a[-1]) == (b[0], b[-1]) and (swapped or len(a) != len(b))
+
+
 def neighbourhood(token: str, prefix: int = PREFIX, most: int = 2) -> set[str]:
     """Symmetric-delete keys: the prefix with up to ``most`` characters deleted. Tokens within that distance share one."""
     head = token[:prefix]
@@ -136,6 +149,7 @@ def neighbourhood(token: str, prefix: int = PREFIX, most: int = 2) -> set[str]:
 
 
 _FORMAL: dict[str, set[str]] = {}
+_WRITTEN = {without_umlauts(_name): _name for _name in NICKNAMES}
 for _name, _short in NICKNAMES.items():
     for _x in (_name, *_short.split()):
         for _y in (_x, without_umlauts(_x)):
@@ -164,25 +178,40 @@ def givens(token: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def canonical(token: str) -> str:
+    """A token in one spelling: an exact short form of one given name as that name; short tokens keep all letters."""
+    names = _FORMAL.get(token, ())
+    if len(names) == 1:
+        return _WRITTEN[next(iter(names))]
+    return token if names or len(token) <= 4 else without_umlauts(token)
+
+
 def parse_person(name: str) -> tuple[str, str, str]:
     """(kind, given, surname): ``full``; ``weak`` with an initial or the names an ambiguous nickname stands for;
     ``handle`` with an opaque account name as surname; ``none`` if nothing is left of the name."""
+    return read_person(name)[:3]
+
+
+def read_person(name: str) -> tuple[str, str, str, list[str]]:
+    """``parse_person`` and the tokens of the name in no order, which hold whichever of them is the given name."""
     text = plain(name)
     comma = "," in text
     raw = [t for t in re.split(r"[\s,._/]+", text) if t]
     if len(raw) == 1 and OPAQUE.match(raw[0]):
-        return "handle", "", raw[0]
+        return "handle", "", raw[0], []
     tokens = [letters(t.strip("-'’`")) for t in raw if t.strip("-'’`.") not in TITLES]
     tokens = [t for t in tokens if t and any(c.isalpha() for c in t)]
     long = [t for t in tokens if len(t) > 1]
     short = [t for t in tokens if len(t) == 1]
     if not long:
-        return "none", "", ""
+        return "none", "", "", []
     if len(long) == 1:
         token = long[0]
         if short:
-            return "weak", short[0], without_umlauts(token)
-        return ("weak", token[0], without_umlauts(token[1:])) if len(token) > 4 and not givens(token) else ("none", "", "")
+            return "weak", short[0], without_umlauts(token), [short[0], without_umlauts(token)]
+        if len(token) > 4 and not givens(token):
+            return "weak", token[0], without_umlauts(token[1:]), [token[0], without_umlauts(token[1:])]
+        return "none", "", "", []
     known = [t for t in long if givens(t)]
     exact = [t for t in known if t in _FORMAL]
     given = (exact or known or [long[-1] if comma else long[0]])[-1 if comma else 0]
@@ -192,7 +221,8 @@ def parse_person(name: str) -> tuple[str, str, str]:
     rest.remove(given)
     surname = without_umlauts("".join(rest))
     names = sorted(givens(given)) or [without_umlauts(given)]
-    return ("full", names[0], surname) if len(names) == 1 else ("weak", "|".join(names), surname)
+    tokens = sorted(map(canonical, long))
+    return ("full", names[0], surname, tokens) if len(names) == 1 else ("weak", "|".join(names), surname, tokens)
 
 
 def trade_word(token: str) -> str | None:
@@ -235,7 +265,9 @@ def agreement(a: str, b: str) -> float:
         return 1.0 if a[:1] == b[:1] else 0.0
     if givens(a) & givens(b):
         return 2.5
-    if distance(a, b, 2) <= allowed(a, b):
+    if a in _FORMAL and b in _FORMAL:  # two given names, however alike
+        return 0.0
+    if distance(a, b, 2) <= allowed(a, b) or slipped(a, b):
         return 2.0
     short, full = sorted((a, b), key=len)
     return 1.5 if len(short) >= 3 and full.startswith(short) else 0.0
@@ -273,7 +305,24 @@ def agree(kind: str, given_a: str, sur_a: str, given_b: str, sur_b: str) -> int:
     return -1
 
 
-FORM = "form string, scope string, kind string, form_kind string, given string, surname string"
+def agree_tokens(a: list[str], b: list[str]) -> int:
+    """Errors between the tokens of two persons' names, in any order, -1 if they can't be the same: each token of one
+    is assigned to one of the other, as equal, misspelt or (one of them) the same given name. A slip in a short token
+    counts if all others are equal."""
+    if len(a) != len(b) or len(a) < 2:
+        return -1
+    pairs = [(a[i], b[j]) for i, j in align(a, b)[1]]
+    scores = [agreement(x, y) for x, y in pairs]
+    off = [distance(x, y, 2) for x, y in pairs]
+    if len(pairs) < len(a) or min(scores) < 2:
+        return -1
+    far = sum(d > allowed(x, y) for d, (x, y) in zip(off, pairs, strict=True))  # by nickname or slip only
+    if far > 1 or any(slipped(x, y) and sum(off) > 1 for x, y in pairs):
+        return -1
+    return sum(d for d, score in zip(off, scores, strict=True) if score == 2)
+
+
+FORM = "form string, scope string, kind string, form_kind string, given string, surname string, tokens string"
 
 
 def name_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -287,48 +336,75 @@ def name_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for entity, name, scope, kind in zip(batch["entity_id"], batch["name"], batch["scope"], batch["kind"], strict=True):
-                form_kind, given, surname = (parse_person if kind == "person" else parse_organisation)(name)
+                form_kind, given, surname, *tokens = (read_person if kind == "person" else parse_organisation)(name)
                 if form_kind != "none":
-                    out.append((entity, SEP.join((scope, kind, form_kind, given, surname)), scope, kind, form_kind, given, surname))
-            yield pd.DataFrame(out, columns=["entity_id", "form", "scope", "kind", "form_kind", "given", "surname"])
+                    words = BETWEEN.join(tokens[0]) if tokens else surname
+                    out.append((entity, SEP.join((scope, kind, form_kind, given, surname, words)), scope, kind, form_kind, given, surname, words))
+            yield pd.DataFrame(out, columns=["entity_id", "form", "scope", "kind", "form_kind", "given", "surname", "tokens"])
 
     return met.select("entity_id", "name", "scope", "kind").mapInPandas(run, "entity_id string, " + FORM).distinct()
 
 
-def indexed(forms: DataFrame, with_given: bool) -> DataFrame:
-    """A row per form and symmetric-delete key of its surname or brand, in a block of scope, kind and, for full names
-    of persons, given name."""
+def token_keys(kind: str, surname: str, tokens: list[str]) -> list[tuple[int, str]]:
+    """(number of the token, key): the symmetric-delete keys of every token, given names too, and of a surname of
+    several tokens as one; the given names a token stands for; initials."""
+    out = []
+    if kind != "person":
+        return [(0, key) for key in neighbourhood(surname)]
+    for no, token in enumerate([*tokens, surname] if surname not in tokens else tokens):
+        names = givens(token)
+        keys = neighbourhood(token, most=deletions(token)) | {"=" + x for x in names} | {"^" + x[0] for x in (token, *names)}
+        out += [(no, key) for key in keys]
+    return out
+
+
+def indexed(forms: DataFrame) -> DataFrame:
+    """``form``, ``key``: the keys at which forms of a scope and kind meet.
+
+    Names of persons agree in two tokens at least, so a key with more than ``HOT`` forms (a frequent given name) is met
+    with a key of another token: two names that share no rarer key share such a pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for form, scope, kind, given, surname in zip(batch["form"], batch["scope"], batch["kind"], batch["given"], batch["surname"], strict=True):
-                block = SEP.join((scope, kind, given if with_given and kind == "person" else ""))
-                out += [(form, kind, given, surname, block + SEP + key) for key in neighbourhood(surname)]
-            yield pd.DataFrame(out, columns=["form", "kind", "given", "surname", "key"])
+            for form, scope, kind, surname, tokens in zip(*(batch[c] for c in ("form", "scope", "kind", "surname", "tokens")), strict=True):
+                out += [(form, kind, no, SEP.join((scope, kind, key))) for no, key in token_keys(kind, surname, tokens.split(BETWEEN))]
+            yield pd.DataFrame(out, columns=["form", "kind", "no", "key"])
+
+    def couples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for form, keys in zip(batch["form"], batch["keys"], strict=True):
+                out |= {(form, SEP.join(sorted((x["key"], y["key"])))) for x, y in combinations(keys, 2) if x["no"] != y["no"]}
+            yield pd.DataFrame(sorted(out), columns=["form", "key"])
 
-    return forms.select("form", "scope", "kind", "given", "surname").mapInPandas(run, "form string, kind string, given string, surname string, key string")
+    keys = checkpointed(forms.select("form", "scope", "kind", "surname", "tokens").mapInPandas(run, "form string, kind string, no int, key string"))
+    many = keys.filter(F.col("kind") == "person").groupBy("key").agg(F.count_distinct("form").alias("n")).filter(F.col("n") > HOT).select("key")
+    single = keys.join(many, "key", "left_anti").select("form", "key")
+    hot = keys.join(many, "key", "left_semi").groupBy("form").agg(F.collect_list(F.struct("no", "key")).alias("keys"))
+    return checkpointed(single.unionByName(hot.mapInPandas(couples, "form string, key string")).distinct())
 
 
-def similar_forms(left: DataFrame, right: DataFrame, with_given: bool) -> DataFrame:
+def similar_forms(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFrame:
     """``a``, ``b``, ``errors``: forms of left and right that agree. With the same frame on both sides each pair once.
 
-    The index join meets at each key only tokens whose prefixes are within two deletions; pairs met at several keys
-    are verified once.
+    ``keys`` are those of all forms (``indexed``); pairs met at several keys are verified once.
     """
     same = left is right
-    x = indexed(left, with_given)
-    y = x if same else indexed(right, with_given)
-    x = x.select("key", *[F.col(c).alias(f"a_{c}") for c in ("form", "kind", "given", "surname")])
-    y = y.select("key", *[F.col(c).alias(f"b_{c}") for c in ("form", "given", "surname")])
-    near = F.abs(F.length("a_surname") - F.length("b_surname")) <= 2
-    pairs = x.join(y, "key").filter((F.col("a_form") < F.col("b_form") if same else F.col("a_form") != F.col("b_form")) & near & (F.levenshtein("a_surname", "b_surname", 4) >= 0)).drop("key").distinct()
+    x = keys.join(left.select("form"), "form", "left_semi").withColumnRenamed("form", "a")
+    y = keys.join(right.select("form"), "form", "left_semi").withColumnRenamed("form", "b")
+    pairs = x.join(y, "key").filter(F.col("a") < F.col("b") if same else F.col("a") != F.col("b")).select("a", "b").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for a, b, kind, ga, sa, gb, sb in zip(*(batch[c] for c in ("a_form", "b_form", "a_kind", "a_given", "a_surname", "b_given", "b_surname")), strict=True):
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                _, kind, _, ga, sa, ta = a.split(SEP)  # a form tells all that is known of it
+                _, _, _, gb, sb, tb = b.split(SEP)
                 errors = agree(kind, ga, sa, gb, sb)
+                if errors < 0 and kind == "person":
+                    errors = agree_tokens(ta.split(BETWEEN), tb.split(BETWEEN))
                 if errors >= 0:
                     out.append((a, b, errors))
             yield pd.DataFrame(out, columns=["a", "b", "errors"])
@@ -347,8 +423,9 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     node = F.concat(F.lit("f"), "form")
     strong = held.filter(F.col("form_kind") != "weak")
     full = checkpointed(held.filter(F.col("form_kind") == "full").drop("entity_id").distinct())
+    keys = indexed(held.filter(F.col("form_kind") != "handle").drop("entity_id").distinct())
     edges = strong.select(entity.alias("a"), node.alias("b"))
-    alike = similar_forms(full, full, True).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
+    alike = similar_forms(full, full, keys).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
     edges = checkpointed(edges.unionByName(alike))
     first = checkpointed(connected_groups(edges, "a", "b"))
 
@@ -356,14 +433,14 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     sure = strong.filter(F.col("form_kind") == "full").select("entity_id").distinct()
     weak = held.filter(F.col("form_kind") == "weak").join(sure, "entity_id", "left_anti")
     weak_forms = checkpointed(weak.drop("entity_id").distinct())
-    met = similar_forms(weak_forms, full, False).join(first.select(F.substring("id", 2, 1_000_000).alias("b"), "group_id"), "b")
+    met = similar_forms(weak_forms, full, keys).join(first.select(F.substring("id", 2, 1_000_000).alias("b"), "group_id"), "b")
     fits = met.groupBy("a", "group_id").agg(F.min("errors").alias("errors"))
     best = fits.groupBy("a").agg(F.min(F.struct("errors", "group_id")).alias("best"), F.min("errors").alias("least"), F.collect_set("errors").alias("all"))
     ties = fits.join(best.select("a", "least"), "a").filter(F.col("errors") == F.col("least")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     chosen = best.join(ties.filter(F.col("n") == 1), "a").select("a", F.col("best.group_id").alias("group_id"))
     to_group = weak.join(chosen.withColumnRenamed("a", "form"), "form").select(entity.alias("a"), F.col("group_id").alias("b"))
     lone = checkpointed(weak_forms.join(fits.select(F.col("a").alias("form")).distinct(), "form", "left_anti"))
-    among = similar_forms(lone, lone, True).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
+    among = similar_forms(lone, lone, keys).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
     own = weak.join(lone.select("form"), "form", "left_semi").select(entity.alias("a"), node.alias("b"))
     groups = connected_groups(edges.unionByName(to_group).unionByName(among).unionByName(own), "a", "b")
     members = groups.filter(F.col("id").startswith("e")).select(F.substring("id", 2, 1_000_000).alias("entity_id"), "group_id")

@@ -81,3 +81,20 @@ def test_links(spark):
     pairs = {tuple(r) for r in names.name_pairs(names.link_names(entities, aliases)).collect()}
     assert len(pairs) == 10 + 1 + 1 and all(a < b for a, b in pairs)
     assert names.link_names(entities.limit(0), aliases.limit(0)).count() == 0
+
+
+def named(spark, *rows):
+    """The groups of names (entity_id, name, entity_type) in one scope, as sets."""
+    entities = spark.createDataFrame([(i, "s", n, k) for i, n, k in rows], "entity_id string, scope string, canonical_name string, entity_type string")
+    found = names.link_names(entities, spark.createDataFrame([], "entity_id string, alias string, scope string")).collect()
+    return {frozenset(r["entity_id"] for r in found if r["group_id"] == g) for g in {r["group_id"] for r in found}}
+
+
+def test_given_names_outside_the_table(spark):
+    """Misspelt, in the other order, short; and as frequent as a given name that isn't met alone."""
+    people = [("a1", "Hiroshi Tanaka"), ("a2", "Hirosi Tanaka"), ("a3", "Tanaka Hiroshi"), ("b1", "Zoe Fodinuphar"), ("b2", "Zooe Fodinuphar"), ("c1", "Jonathan Fodinuphar"), ("d1", "Tim Fodinuphar"), ("d2", "Tom Fodinuphar")]
+    many = [(f"m{i:02}", f"Hiroshi {'bcdfgklmnprstvz'[i % 15] * 2}{'aeiou'[i // 15] * 3}{'bcdfgklmnprstvz'[i % 15] * 3}") for i in range(75)]
+    groups = named(spark, *[(i, n, "person") for i, n in people + many])
+    assert frozenset({"a1", "a2", "a3"}) in groups and frozenset({"b1", "b2"}) in groups
+    assert not {"c1", "d1", "d2"} & set().union(*groups)
+    assert names.agree_tokens(["daniel", "kovar"], ["danny", "robert"]) == -1
