@@ -45,24 +45,32 @@ STATS = ("log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_
 TOLERANCE = (1.0, 0.6, 0.02, 0.05, 0.35, 0.06, 0.12, 0.8, 0.12, 0.06)
 
 
-def language_of(text: str, words: int, n_cjk: int) -> str:
-    """zh, de or en, from the text itself: the column may be null or wrong."""
+def language_of(words: int, n_cjk: int, known: dict[str, int]) -> str:
+    """zh, de or en, from the whole text (``known``: its function words per language): the column may be null or wrong."""
     if n_cjk * 2 > words:
         return "zh"
-    low = text[:4000].lower().split()
-    de, en = (sum(map(COMMON[x].__contains__, low)) for x in ("de", "en"))
-    return "de" if de > en else "en"
+    return "de" if known["de"] > known["en"] else "en"
 
 
-def latin_unit(tokens: list[str], common: frozenset[str]) -> bool:
-    """Whether white-space tokens read like (part of) a sentence: enough of them are function words, few are broken."""
+def latin_unit(tokens: list[str], languages: tuple[str, ...]) -> str | None:
+    """The first of the languages in which white-space tokens read like (part of) a sentence: enough of them are function
+    words, few are broken."""
     n = len(tokens)
     if n < 4:
-        return False
+        return None
     cores = [t.strip(STRIP) for t in tokens]
-    known = sum(map(common.__contains__, cores))
-    alpha = sum(map(str.isalpha, cores))
-    return known >= 0.2 * n and alpha >= 0.6 * n and known >= 2 and len(BROKEN.findall(" ".join(tokens))) <= 0.15 * n
+    for lang in languages:
+        known = sum(map(COMMON[lang].__contains__, cores))
+        if known >= 0.2 * n and known >= 2:
+            alpha = sum(map(str.isalpha, cores))
+            return lang if alpha >= 0.6 * n and len(BROKEN.findall(" ".join(tokens))) <= 0.15 * n else None
+    return None
+
+
+def more_words(tokens: list[str], lang: str, than: str) -> int:
+    """How many more function words of one language than of another are among the tokens."""
+    cores = [t.strip(STRIP) for t in tokens]
+    return sum(map(COMMON[lang].__contains__, cores)) - sum(map(COMMON[than].__contains__, cores))
 
 
 def chinese_unit(run: str, n_cjk: int, blank_free: int) -> bool:
@@ -70,24 +78,29 @@ def chinese_unit(run: str, n_cjk: int, blank_free: int) -> bool:
     return n_cjk >= 6 and n_cjk >= 0.35 * blank_free and sum(map(COMMON_ZH.__contains__, run)) >= max(1.0, 0.07 * n_cjk)
 
 
-def sentence_characters(lines: list[str], common: frozenset[str]) -> int:
-    """Non-blank characters of the lines (or parts of long lines) that read like natural-language sentences."""
-    inside = 0
+def sentence_characters(lines: list[str], languages: tuple[str, ...]) -> tuple[int, int]:
+    """Non-blank characters of the lines (or parts of long lines) that read like sentences of one of the languages, and
+    how many more function words the parts in another than the first language have in their own."""
+    inside = more = 0
     for line in lines:
         if CJK.search(line):
             for part in ZH_END.split(line):
                 size = len("".join(part.split()))
                 n = len(CJK.findall(part))
-                if n and chinese_unit(part, n, size) or n * 4 < size and latin_unit(part.lower().split(), common):
+                if n and chinese_unit(part, n, size):
+                    inside += size
+                elif n * 4 < size and (reads := latin_unit(words := part.lower().split(), languages)):
                     inside += size
+                    more += more_words(words, reads, languages[0]) if reads != languages[0] else 0
             continue
-        tokens, reads = line.lower().split(), False
+        tokens, reads = line.lower().split(), None
         for i in range(0, len(tokens), WINDOW):
             part = tokens[i : i + WINDOW]
-            reads = reads if i and len(part) < 6 else latin_unit(part, common)
+            reads = reads if i and len(part) < 6 else latin_unit(part, languages)
             if reads:
                 inside += sum(map(len, part))
-    return inside
+                more += more_words(part, reads, languages[0]) if reads != languages[0] else 0
+    return inside, more
 
 
 def statistics(text: str) -> tuple:
@@ -96,8 +109,12 @@ def statistics(text: str) -> tuple:
     tokens = text.split()
     size = sum(map(len, tokens))
     n_cjk = len(CJK.findall(text))
-    lang = language_of(text, len(tokens), n_cjk)
-    cores = [t.strip(STRIP) for t in text.lower().split()] if lang != "zh" else []
+    words = [c for t in text.lower().split() if (c := t.strip(STRIP))]
+    known = {x: sum(map(COMMON[x].__contains__, words)) for x in COMMON}
+    lang = language_of(len(tokens), n_cjk, known)
+    main, other = ("de", "en") if lang == "de" else ("en", "de")
+    # A text with one function word of the other language has no sentence in it.
+    inside, more = sentence_characters(lines, (main, other) if known[other] >= 2 else (main,))
     if lang == "zh":
         runs = CJK_RUN.findall(text)
         n_words = n_cjk / 1.7
@@ -105,15 +122,12 @@ def statistics(text: str) -> tuple:
         share = sum(map(COMMON_ZH.__contains__, "".join(runs))) / max(1, n_cjk) * 2
         clean = n_cjk / size
     else:
-        words = [c for c in cores if c]
         n_words = len(words)
         mean = min(20.0, sum(map(len, words)) / n_words) if words else 0.0
-        share = sum(map(COMMON[lang].__contains__, words)) / max(1, n_words)
+        share = (known[lang] + more) / max(1, n_words)
         clean = sum(map(str.isalpha, words)) / max(1, len(tokens))
-    common = COMMON["de"] if lang == "de" else COMMON["en"]
     ended = sum(x.rstrip().endswith(END) for x in lines) / len(lines)
     repeated = 1 - len(set(lines)) / len(lines)
-    inside = sentence_characters(lines, common)
     return (
         lang,
         math.log1p(n_words),

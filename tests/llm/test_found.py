@@ -174,3 +174,15 @@ def test_quality_of_documents(spark):
     assert abs(sum(r[f"part_{s}"] for s in quality.STATS) - r.distance2) < 1e-6
     assert quality.robust_fit(stats.limit(0)) == {}
     assert quality.not_prose(quality.outlierness(stats.limit(0), {})).count() == 0
+
+
+def test_language_is_of_the_whole_text():
+    """Prose in the other language after a long list, in one line of a text, and function words only by chance."""
+    listed = "\n".join(f"part {i:05} as in of by {i * 7919 % 100003}" if i % 40 == 0 else f"x{i:05} {i * 7919 % 100003}" for i in range(330))
+    prose = "Die Pumpe wurde nach dem Wechsel der Dichtung wieder in Betrieb genommen, weil der Druck nicht mehr zu hoch war.\n" * 40
+    assert len(listed) > 4000 and quality.statistics(listed + "\n" + prose)[0] == "de"
+    share, common = (1 + quality.STATS.index(x) for x in ("sentence_share", "common_share"))
+    english = "The pump was taken back into operation after the change of the seal, because the pressure was not too high any more.\n"
+    mixed = quality.statistics(english * 5 + prose)
+    assert mixed[0] == "de" and mixed[share] == 1.0 and mixed[common] > 0.4
+    assert quality.statistics(english * 5)[1:] == pytest.approx(quality.statistics(english * 5 + "\n \n")[1:])
