@@ -245,15 +245,33 @@ def trade_word(token: str) -> str | None:
 
 
 def parse_organisation(name: str) -> tuple[str, str, str]:
-    """(kind, lines of business, brand): ``full``, ``handle`` for a code of letters and digits, or ``none``."""
+    """(kind, lines of business, brand): ``full``, ``handle`` for a code of letters and digits, or ``none``. The reading
+    with as many trade words as possible."""
+    return read_organisation(name)[0][:3]
+
+
+def read_organisation(name: str) -> list[tuple[str, str, str, list[str]]]:
+    """The readings of a name: kind, lines of business, brand and its tokens. A token that isn't spelt as a trade word
+    may be part of the brand (Intel, TEL) or a trade word; with more than 6 such tokens all, none or all but one of
+    them are trade words. A name of trade words alone is its own brand."""
     text = plain(name)
     raw = [t for t in re.split(r"[\s,._/&+-]+", text) if t]
     if len(raw) == 1 and OPAQUE.match(raw[0]):
-        return "handle", "", raw[0]
+        return [("handle", "", raw[0], [])]
     tokens = [letters(t) for t in raw if t not in LEGAL]
-    lines = {w for t in tokens if (w := trade_word(t))}
-    brand = without_umlauts("".join(t for t in tokens if not trade_word(t)))
-    return ("full", "|".join(sorted(lines)), brand) if brand else ("none", "", "")
+    trade = [trade_word(t) for t in tokens]
+    unsure = [i for i, t in enumerate(tokens) if trade[i] not in (None, t)]
+    sizes = range(len(unsure) + 1) if len(unsure) <= 6 else (0, 1, len(unsure))
+    out = []
+    for kept in (set(c) for n in sizes for c in combinations(unsure, n)):
+        brand = [without_umlauts(t) for i, t in enumerate(tokens) if trade[i] is None or i in kept]
+        lines = {w for i, w in enumerate(trade) if w and i not in kept}
+        if brand:
+            out.append(("full", "|".join(sorted(lines)), "".join(brand), sorted(brand)))
+    if tokens and not out:
+        whole = [without_umlauts(t) for t in tokens]
+        out.append(("full", "", "".join(whole), sorted(whole)))
+    return out or [("none", "", "", [])]
 
 
 def agreement(a: str, b: str) -> float:
@@ -336,10 +354,10 @@ def name_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for entity, name, scope, kind in zip(batch["entity_id"], batch["name"], batch["scope"], batch["kind"], strict=True):
-                form_kind, given, surname, *tokens = (read_person if kind == "person" else parse_organisation)(name)
-                if form_kind != "none":
-                    words = BETWEEN.join(tokens[0]) if tokens else surname
-                    out.append((entity, SEP.join((scope, kind, form_kind, given, surname, words)), scope, kind, form_kind, given, surname, words))
+                for form_kind, given, surname, tokens in [read_person(name)] if kind == "person" else read_organisation(name):
+                    if form_kind != "none":
+                        words = BETWEEN.join(tokens)
+                        out.append((entity, SEP.join((scope, kind, form_kind, given, surname, words)), scope, kind, form_kind, given, surname, words))
             yield pd.DataFrame(out, columns=["entity_id", "form", "scope", "kind", "form_kind", "given", "surname", "tokens"])
 
     return met.select("entity_id", "name", "scope", "kind").mapInPandas(run, "entity_id string, " + FORM).distinct()

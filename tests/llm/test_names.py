@@ -98,3 +98,10 @@ def test_given_names_outside_the_table(spark):
     assert frozenset({"a1", "a2", "a3"}) in groups and frozenset({"b1", "b2"}) in groups
     assert not {"c1", "d1", "d2"} & set().union(*groups)
     assert names.agree_tokens(["daniel", "kovar"], ["danny", "robert"]) == -1
+
+
+def test_brands_like_trade_words(spark):
+    """A brand isn't lost because its letters occur in a trade word."""
+    companies = [("a1", "Intel Corp."), ("a2", "INTEL Corporation"), ("b1", "TEL"), ("b2", "tel Ltd"), ("c1", "Stos hemuquora Vacuum Systems"), ("c2", "Stoshemuquora Vacuum Systems"), ("d1", "IMS Systems"), ("d2", "CMC Systems"), ("e1", "Vacuum Systems"), ("e2", "Vacuum Systems GmbH")]
+    assert named(spark, *[(i, n, "organization") for i, n in companies]) == {frozenset({f"{x}1", f"{x}2"}) for x in "abce"}
+    assert names.parse_organisation("Intel") == ("full", "", "intel")
