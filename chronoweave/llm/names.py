@@ -4,7 +4,7 @@ Names are brought to tokens without case, accents, titles, legal forms and remar
 tokens' prefixes with up to two characters deleted, as in SymSpell) finds tokens a small edit distance apart; the
 names that share such a token are aligned token by token, by the assignment with the highest total, which permits
 typing errors, nicknames, initials and abbreviations. Full names that agree are linked first; a name with only an
-initial joins a group if it fits no other group of its scope as well.
+initial, an abbreviation (with its period) or fewer tokens joins a group if it fits no other of its scope as well.
 """
 
 from __future__ import annotations
@@ -83,6 +83,8 @@ LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "a",
 OPAQUE = re.compile(r"[a-z]+\d{2,}$")
 SEP, BETWEEN = "\x1f", "\x1e"
 PREFIX = 8
+#: Least cost of names that agree only with an initial, an abbreviation or a token left out.
+LOOSE = 10
 #: Forms of a key from which on it is met together with a key of another token of the name.
 HOT = 50
 
@@ -192,13 +194,20 @@ def parse_person(name: str) -> tuple[str, str, str]:
     return read_person(name)[:3]
 
 
+def abbreviated(text: str) -> set[str]:
+    """The tokens that end with the period of an abbreviation."""
+    return set(re.findall(r"([^\s,._/]+)\.(?=[\s,]|$)", text))
+
+
 def read_person(name: str) -> tuple[str, str, str, list[str]]:
-    """``parse_person`` and the tokens of the name in no order, which hold whichever of them is the given name."""
+    """``parse_person`` and the tokens of the name in no order, which hold whichever of them is the given name; an
+    abbreviation keeps its period."""
     text = plain(name)
     comma = "," in text
     raw = [t for t in re.split(r"[\s,._/]+", text) if t]
     if len(raw) == 1 and OPAQUE.match(raw[0]):
         return "handle", "", raw[0], []
+    short_form = {letters(t.strip("-'’`")) for t in abbreviated(text)}
     tokens = [letters(t.strip("-'’`")) for t in raw if t.strip("-'’`.") not in TITLES]
     tokens = [t for t in tokens if t and any(c.isalpha() for c in t)]
     long = [t for t in tokens if len(t) > 1]
@@ -221,7 +230,7 @@ def read_person(name: str) -> tuple[str, str, str, list[str]]:
     rest.remove(given)
     surname = without_umlauts("".join(rest))
     names = sorted(givens(given)) or [without_umlauts(given)]
-    tokens = sorted(map(canonical, long))
+    tokens = sorted(canonical(t) + "." * (t in short_form and t not in _FORMAL) for t in long)
     return ("full", names[0], surname, tokens) if len(names) == 1 else ("weak", "|".join(names), surname, tokens)
 
 
@@ -259,18 +268,19 @@ def read_organisation(name: str) -> list[tuple[str, str, str, list[str]]]:
     if len(raw) == 1 and OPAQUE.match(raw[0]):
         return [("handle", "", raw[0], [])]
     tokens = [letters(t) for t in raw if t not in LEGAL]
+    short_form = set(map(letters, abbreviated(text)))
     trade = [trade_word(t) for t in tokens]
     unsure = [i for i, t in enumerate(tokens) if trade[i] not in (None, t)]
     sizes = range(len(unsure) + 1) if len(unsure) <= 6 else (0, 1, len(unsure))
     out = []
     for kept in (set(c) for n in sizes for c in combinations(unsure, n)):
-        brand = [without_umlauts(t) for i, t in enumerate(tokens) if trade[i] is None or i in kept]
+        brand = [t for i, t in enumerate(tokens) if trade[i] is None or i in kept]
         lines = {w for i, w in enumerate(trade) if w and i not in kept}
         if brand:
-            out.append(("full", "|".join(sorted(lines)), "".join(brand), sorted(brand)))
+            marked = sorted(without_umlauts(t) + "." * (t in short_form) for t in brand)
+            out.append(("full", "|".join(sorted(lines)), without_umlauts("".join(brand)), marked))
     if tokens and not out:
-        whole = [without_umlauts(t) for t in tokens]
-        out.append(("full", "", "".join(whole), sorted(whole)))
+        out.append(("full", "", without_umlauts("".join(tokens)), sorted(map(without_umlauts, tokens))))
     return out or [("none", "", "", [])]
 
 
@@ -329,6 +339,7 @@ def agree_tokens(a: list[str], b: list[str]) -> int:
     counts if all others are equal."""
     if len(a) != len(b) or len(a) < 2:
         return -1
+    a, b = ([t.rstrip(".") for t in x] for x in (a, b))
     pairs = [(a[i], b[j]) for i, j in align(a, b)[1]]
     scores = [agreement(x, y) for x, y in pairs]
     off = [distance(x, y, 2) for x, y in pairs]
@@ -340,6 +351,29 @@ def agree_tokens(a: list[str], b: list[str]) -> int:
     return sum(d for d, score in zip(off, scores, strict=True) if score == 2)
 
 
+def agree_loosely(kind: str, lines_a: str, a: list[str], lines_b: str, b: list[str]) -> int:
+    """``LOOSE`` and more if each token of ``a`` is assigned to one of the same or a longer name ``b``, as equal, misspelt,
+    an initial or an abbreviation with its period; -1 if not. Persons agree in another token besides; organisations in
+    a brand token, or in the lines of business if the brand is abbreviated."""
+    plain_a, plain_b = ([t.rstrip(".") for t in x] for x in (a, b))
+    pairs = align(plain_a, plain_b)[1] if len(a) <= len(b) else []
+    if not pairs or len(pairs) < len(a):
+        return -1
+    scores = [agreement(plain_a[i], plain_b[j]) for i, j in pairs]
+    gaps = [(distance(plain_a[i], plain_b[j], 2), allowed(plain_a[i], plain_b[j])) for i, j in pairs]
+    nicknames = sum(score == 2.5 and d > most for score, (d, most) in zip(scores, gaps, strict=True))
+    if any(score == 1.5 and not (a[i].endswith(".") and len(plain_a[i]) < len(plain_b[j])) for score, (i, j) in zip(scores, pairs, strict=True)):
+        return -1
+    if kind == "person" and (len(a) < 2 or max(scores) < 2 or nicknames > 1):
+        return -1
+    if kind == "organization":
+        x, y = set(lines_a.split("|")) - {""}, set(lines_b.split("|")) - {""}
+        if nicknames or min(scores) < 1.5 or not (x <= y or y <= x) or (max(scores) < 2 and not x & y):
+            return -1
+    cut = sum(score == 1.5 and b[j].endswith(".") for score, (_, j) in zip(scores, pairs, strict=True))  # rather a whole token
+    return LOOSE + int(2 * (3 * len(a) - sum(scores))) + cut
+
+
 FORM = "form string, scope string, kind string, form_kind string, given string, surname string, tokens string"
 
 
@@ -365,13 +399,13 @@ def name_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def token_keys(kind: str, surname: str, tokens: list[str]) -> list[tuple[int, str]]:
     """(number of the token, key): the symmetric-delete keys of every token, given names too, and of a surname of
-    several tokens as one; the given names a token stands for; initials."""
+    several tokens as one; the given names a token stands for; initials and beginnings."""
     out = []
-    if kind != "person":
-        return [(0, key) for key in neighbourhood(surname)]
+    tokens = [t.rstrip(".") for t in tokens]
     for no, token in enumerate([*tokens, surname] if surname not in tokens else tokens):
-        names = givens(token)
-        keys = neighbourhood(token, most=deletions(token)) | {"=" + x for x in names} | {"^" + x[0] for x in (token, *names)}
+        names = givens(token) if kind == "person" else ()
+        keys = neighbourhood(token, most=deletions(token)) | {"=" + x for x in names} | ({"<" + token[:3]} if len(token) >= 3 else set())
+        keys |= {"^" + x[0] for x in (token, *names)} if kind == "person" else set()
         out += [(no, key) for key in keys]
     return out
 
@@ -405,7 +439,8 @@ def indexed(forms: DataFrame) -> DataFrame:
 
 
 def similar_forms(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``errors``: forms of left and right that agree. With the same frame on both sides each pair once.
+    """``a``, ``b``, ``errors``: forms of left and right that agree. With the same frame on both sides each pair
+    once; loose ones (``LOOSE`` errors and more) with the name that is the shorter as ``a``.
 
     ``keys`` are those of all forms (``indexed``); pairs met at several keys are verified once.
     """
@@ -420,16 +455,29 @@ def similar_forms(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFra
             for a, b in zip(batch["a"], batch["b"], strict=True):
                 _, kind, _, ga, sa, ta = a.split(SEP)  # a form tells all that is known of it
                 _, _, _, gb, sb, tb = b.split(SEP)
-                errors = agree(kind, ga, sa, gb, sb)
+                errors, la, lb = agree(kind, ga, sa, gb, sb), ta.split(BETWEEN), tb.split(BETWEEN)
                 if errors < 0 and kind == "person":
-                    errors = agree_tokens(ta.split(BETWEEN), tb.split(BETWEEN))
+                    errors = agree_tokens(la, lb)
                 if errors >= 0:
                     out.append((a, b, errors))
+                    continue
+                there, back = agree_loosely(kind, ga, la, gb, lb), agree_loosely(kind, gb, lb, ga, la)
+                if same:
+                    out += [(x, y, cost) for x, y, cost in ((a, b, there), (b, a, back)) if cost >= 0]
+                elif max(there, back) >= 0:
+                    out.append((a, b, max(there, back)))
             yield pd.DataFrame(out, columns=["a", "b", "errors"])
 
     return pairs.mapInPandas(run, "a string, b string, errors int")
 
 
+def the_best(fits: DataFrame) -> DataFrame:
+    """``a``, ``group_id``: the group with the fewest errors of each ``a``, if it is the only one with so few."""
+    least = fits.groupBy("a", "group_id").agg(F.min("errors").alias("errors")).groupBy("a", "errors").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("group_id"))
+    best = least.groupBy("a").agg(F.min(F.struct("errors", "n", "group_id")).alias("best"))
+    return best.filter(F.col("best.n") == 1).select("a", F.col("best.group_id").alias("group_id"))
+
+
 def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """``entity_id`` and ``group_id`` (its smallest entity_id) of the persons and organisations that have variants.
 
@@ -443,22 +491,26 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     full = checkpointed(held.filter(F.col("form_kind") == "full").drop("entity_id").distinct())
     keys = indexed(held.filter(F.col("form_kind") != "handle").drop("entity_id").distinct())
     edges = strong.select(entity.alias("a"), node.alias("b"))
-    alike = similar_forms(full, full, keys).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
+    of_full = checkpointed(similar_forms(full, full, keys))
+    alike = of_full.filter(F.col("errors") < LOOSE).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
     edges = checkpointed(edges.unionByName(alike))
     first = checkpointed(connected_groups(edges, "a", "b"))
+    group_of = first.select(F.substring("id", 2, 1_000_000).alias("form"), "group_id")
+
+    # Groups whose names agree with others only loosely join one if no other group fits as well.
+    loose = of_full.filter(F.col("errors") >= LOOSE).join(group_of.select(F.col("form").alias("a"), F.col("group_id").alias("own")), "a").join(group_of.withColumnRenamed("form", "b"), "b")
+    joined = the_best(loose.filter(F.col("own") != F.col("group_id")).select(F.col("own").alias("a"), "group_id", "errors"))
+    edges = edges.unionByName(joined.select("a", F.col("group_id").alias("b")))
 
     # Entities without any full name, by their weak forms.
     sure = strong.filter(F.col("form_kind") == "full").select("entity_id").distinct()
     weak = held.filter(F.col("form_kind") == "weak").join(sure, "entity_id", "left_anti")
     weak_forms = checkpointed(weak.drop("entity_id").distinct())
-    met = similar_forms(weak_forms, full, keys).join(first.select(F.substring("id", 2, 1_000_000).alias("b"), "group_id"), "b")
-    fits = met.groupBy("a", "group_id").agg(F.min("errors").alias("errors"))
-    best = fits.groupBy("a").agg(F.min(F.struct("errors", "group_id")).alias("best"), F.min("errors").alias("least"), F.collect_set("errors").alias("all"))
-    ties = fits.join(best.select("a", "least"), "a").filter(F.col("errors") == F.col("least")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    chosen = best.join(ties.filter(F.col("n") == 1), "a").select("a", F.col("best.group_id").alias("group_id"))
+    met = checkpointed(similar_forms(weak_forms, full, keys).join(group_of.withColumnRenamed("form", "b"), "b").select("a", "group_id", "errors"))
+    chosen = checkpointed(the_best(met))
     to_group = weak.join(chosen.withColumnRenamed("a", "form"), "form").select(entity.alias("a"), F.col("group_id").alias("b"))
-    lone = checkpointed(weak_forms.join(fits.select(F.col("a").alias("form")).distinct(), "form", "left_anti"))
-    among = similar_forms(lone, lone, keys).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
+    lone = checkpointed(weak_forms.join(met.filter(F.col("errors") < LOOSE).select("a").unionByName(chosen.select("a")).distinct().withColumnRenamed("a", "form"), "form", "left_anti"))
+    among = similar_forms(lone, lone, keys).filter(F.col("errors") < LOOSE).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
     own = weak.join(lone.select("form"), "form", "left_semi").select(entity.alias("a"), node.alias("b"))
     groups = connected_groups(edges.unionByName(to_group).unionByName(among).unionByName(own), "a", "b")
     members = groups.filter(F.col("id").startswith("e")).select(F.substring("id", 2, 1_000_000).alias("entity_id"), "group_id")

@@ -105,3 +105,11 @@ def test_brands_like_trade_words(spark):
     companies = [("a1", "Intel Corp."), ("a2", "INTEL Corporation"), ("b1", "TEL"), ("b2", "tel Ltd"), ("c1", "Stos hemuquora Vacuum Systems"), ("c2", "Stoshemuquora Vacuum Systems"), ("d1", "IMS Systems"), ("d2", "CMC Systems"), ("e1", "Vacuum Systems"), ("e2", "Vacuum Systems GmbH")]
     assert named(spark, *[(i, n, "organization") for i, n in companies]) == {frozenset({f"{x}1", f"{x}2"}) for x in "abce"}
     assert names.parse_organisation("Intel") == ("full", "", "intel")
+
+
+def test_shortened_names(spark):
+    """Initials, abbreviations and left-out tokens in any place, if they fit one name only."""
+    people = [("a1", "Robert Hokarzistede"), ("a2", "Robert Hokarz."), ("a3", "Hok. Bob"), ("b1", "Zoe Kavadabrou"), ("b2", "Zoe K."), ("c1", "Hiroshi Maria Tanaka"), ("c2", "Tanaka Hiroshi"), ("d1", "Anna Bergmann"), ("d2", "Anna Berg"), ("e1", "Thomas Lunardo"), ("e2", "Thomas Lunaveti"), ("e3", "Thomas Luna.")]
+    companies = [("f1", "Cowelmardon Gas Delivery"), ("f2", "Cowelm. Gas Delivery"), ("g1", "Nova Fodinuphar Precision Optics"), ("g2", "Fodinuphar Nova Optics"), ("h1", "Micro Systems"), ("h2", "Microchip Systems")]
+    groups = named(spark, *[(i, n, "person") for i, n in people], *[(i, n, "organization") for i, n in companies])
+    assert groups == {frozenset({"a1", "a2", "a3"}), frozenset({"b1", "b2"}), frozenset({"c1", "c2"}), frozenset({"f1", "f2"}), frozenset({"g1", "g2"})}
