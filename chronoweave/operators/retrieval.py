@@ -121,16 +121,23 @@ def question_type(question: Column | str) -> Column:
     return F.when(many, "multi").otherwise("single")
 
 
+def route_limit(query: str) -> int:
+    """Rows of each channel and of the reranker for a question: 160 if it asks back in time or is long, else 40."""
+    back = any(w in query.lower() for w in ("last", "previous", "earlier", "before", "yesterday", "history"))
+    return 160 if back or query.count(" ") >= 8 else 40
+
+
 def overlap_score(text: Column | str, query: str) -> Column:
     """Share of the query's words in a text: the deterministic stand-in for a cross-encoder."""
     asked = F.array_distinct(words(F.lit(query)))
     return F.round(F.size(F.array_intersect(asked, words(text))) / F.greatest(F.lit(1), F.size(asked)), 6)
 
 
-def rerank(named: DataFrame, fused: DataFrame, query: str, top: int = 25, least: float = 0.1, fallback: int = 10) -> DataFrame:
-    """Fused facts by relevance: at most ``top`` of at least ``least``; if there are none the first ``fallback`` by score."""
+def rerank(named: DataFrame, fused: DataFrame, query: str, top: int = 25, least: float = 0.1, fallback: int = 10, candidates: int = 160) -> DataFrame:
+    """The first ``candidates`` fused facts by relevance: at most ``top`` of at least ``least``; if there are none the first
+    ``fallback`` by score."""
     rows = named.join(fused, "fact_id").withColumn("relevance", overlap_score(fact_text(), query))
-    first = rows.orderBy(F.desc("score"), "fact_id").limit(4 * top)
+    first = rows.orderBy(F.desc("score"), "fact_id").limit(candidates)
     good = first.filter(F.col("relevance") >= least)
     w, u = Window.orderBy(F.desc("relevance"), F.desc("score"), "fact_id"), Window.orderBy(F.desc("score"), "fact_id")
     marked = first.withColumn("__good", F.max((F.col("relevance") >= least).cast("int")).over(Window.partitionBy())).withColumn("__r", F.row_number().over(u))
@@ -160,14 +167,37 @@ def context_block(pack: DataFrame, most: int = 6) -> DataFrame:
     )
 
 
-def recall(facts: DataFrame, entities: DataFrame, aliases: DataFrame, graph: DataFrame, named: DataFrame, query: str, vector: list[float], anchor: str, limit: int = 40, top: int = 25) -> DataFrame:
-    """The evidence for a query: five channels, fused and reranked, ``rank`` from 1. One plan, one action."""
+def recall(
+    facts: DataFrame,
+    entities: DataFrame,
+    aliases: DataFrame,
+    graph: DataFrame,
+    named: DataFrame,
+    query: str,
+    vector: list[float],
+    anchor: str,
+    limit: int | None = None,
+    top: int = 25,
+    synonyms: DataFrame | None = None,
+    bonus: DataFrame | None = None,
+) -> DataFrame:
+    """The evidence for a query: six channels, fused and reranked, ``rank`` from 1. One plan, one action.
+
+    ``limit`` rows (by default as the question is routed) of each channel and of the fused facts. ``synonyms`` (term,
+    aliases) make the synonym channel; ``bonus`` (fact_id, bonus; see ``salience``) is added to the fused scores.
+    """
+    limit = route_limit(query) if limit is None else limit
     seeds = nearest_entities(entities, vector).select(F.col("entity_id").alias("seed"))
     channels = [
-        vector_channel(facts, entities, vector, limit=limit),
+        vector_channel(facts, entities, vector, limit, limit),
         lexical_channel(named, query, limit),
         graph_channel(graph, seeds, 2, limit),
         name_channel(facts, entities, aliases, query, limit=limit),
         recency_channel(facts, anchor, limit=limit),
     ]
-    return rerank(named, fuse(channels), query, top)
+    if synonyms is not None:
+        channels.append(synonym_channel(named, synonyms, query, limit))
+    fused = fuse(channels)
+    if bonus is not None:
+        fused = fused.join(bonus, "fact_id", "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
+    return rerank(named, fused, query, top, candidates=limit)

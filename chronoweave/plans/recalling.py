@@ -214,12 +214,12 @@ def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     # What several channels read is made once.
     things, live = checkpointed(entities(spark, sf_dir)), checkpointed(_live(spark, sf_dir))
     args = (live, things, table(spark, sf_dir, "entity_aliases"), edges_of(spark, sf_dir), checkpointed(with_names(live, things)))
-    return ret.recall(*args, QUESTION, _probe(spark, sf_dir), ANCHOR)
+    return ret.recall(*args, QUESTION, _probe(spark, sf_dir), ANCHOR, synonyms=_synonyms(spark, sf_dir))
 
 
 @registry.add("recall_pack")
 def recall_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence for a question: five channels, fused and reranked."""
+    """The evidence for a question: six channels, fused and reranked."""
     return _pack(spark, sf_dir).select("rank", "fact_id", "score", "relevance", "subject_name", "predicate", "object_text")
 
 

@@ -294,3 +294,21 @@ def test_queries_match_their_sql(spark, name):
     df = entry.queries()[name](spark, str(SF))
     r = con.execute(entry.oracle_sql()[name])
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+def test_recall_routes_and_fuses_all_channels(spark):
+    """A long question reads 160 rows of each channel, synonyms and the salience bonus count."""
+    long = "which one of the many tools here has the status alarm"
+    assert [retrieval.route_limit(q) for q in (long, "alarm", "status before")] == [160, 40, 160]
+    rows = [(f"f{i:03}", f"e{i}", None, T0 - timedelta(minutes=i), f"thing{i}", "p", "status alarm" if i == 120 else "x") for i in range(150)]
+    rows.append(("old", "e999", None, T0 - timedelta(days=90), "Acme", "p", "closed"))
+    named = spark.createDataFrame(rows, "fact_id string, subject_id string, object_entity_id string, valid_from timestamp, subject_name string, predicate string, object_text string")
+    entities = spark.createDataFrame([], "entity_id string, canonical_name string, merged_into string, embedding array<double>")
+    aliases = spark.createDataFrame([], "entity_id string, alias string")
+    graph_ = spark.createDataFrame([], "fact_id string, src string, dst string")
+    args = (named, entities, aliases, graph_, named)
+    assert "f120" in {r.fact_id for r in retrieval.recall(*args, long, [1.0, 0.0], "2026-01-01 00:00:00").collect()}
+    synonyms = spark.createDataFrame([("signed", ["closed"])], "term string, aliases array<string>")
+    bonus = spark.createDataFrame([("old", 2.0)], "fact_id string, bonus double")
+    plain_, widened, lifted = ({r.fact_id: r.score for r in retrieval.recall(*args, "acme signed", [1.0, 0.0], "2026-01-01 00:00:00", **more).collect()} for more in ({}, {"synonyms": synonyms}, {"synonyms": synonyms, "bonus": bonus}))
+    assert "old" not in plain_ and set(widened) == set(lifted) == {"old"} and lifted["old"] == pytest.approx(widened["old"] + 2)
