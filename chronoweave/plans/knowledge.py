@@ -239,6 +239,13 @@ def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return belief_ops.revise(facts(spark, sf_dir).filter(current()), entities(spark, sf_dir))
 
 
+@registry.add("export_beliefs", f"SELECT 'belief' AS kind, count(*) AS n, min(valid_from_us) AS first_us, max(valid_from_us) AS last_us FROM ({_BELIEFS})")
+def export_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of beliefs in an export with beliefs, counted as in ``export_rows``."""
+    lines = ingest.export_lines(events(spark, sf_dir), facts(spark, sf_dir), _beliefs(spark, sf_dir)).filter((F.col("kind") == "belief") & (F.get_json_object("line", "$.type") == "belief"))
+    return lines.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal_us").alias("first_us"), F.max("ordinal_us").alias("last_us"))
+
+
 @registry.add("belief_revision", _BELIEFS)
 def belief_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beliefs(spark, sf_dir)

@@ -165,13 +165,17 @@ def chunk_envelopes(chunks: DataFrame, scope: str, key: str = "doc_id") -> DataF
     )
 
 
-def export_lines(events: DataFrame, facts: DataFrame) -> DataFrame:
-    """``kind``, ``ordinal_us``, ``id``, ``line``: live events and believed facts as JSON lines, for ``write.text``."""
+def export_lines(events: DataFrame, facts: DataFrame, beliefs: DataFrame | None = None) -> DataFrame:
+    """``kind``, ``ordinal_us``, ``id``, ``line``: live events, believed facts and the beliefs (of ``revise``) as JSON lines,
+    for ``write.text``."""
     live = events.filter(~F.coalesce("excluded_from_recall", F.lit(False)))
     a = live.select(F.lit("event").alias("kind"), F.unix_micros("observed_at").alias("ordinal_us"), F.col("event_id").alias("id"), _json(type=F.lit("event"), event_id=F.col("event_id"), scope=F.col("scope"), modality=F.col("modality"), content=F.col("content")).alias("line"))
     held = facts.filter(F.col("recorded_to").isNull())
     b = held.select(F.lit("fact").alias("kind"), F.unix_micros("valid_from").alias("ordinal_us"), F.col("fact_id").alias("id"), _json(type=F.lit("fact"), fact_id=F.col("fact_id"), scope=F.col("scope"), subject_id=F.col("subject_id"), predicate=F.col("predicate"), confidence=F.col("confidence")).alias("line"))
-    return a.unionByName(b)
+    if beliefs is None:
+        return a.unionByName(b)
+    c = beliefs.select(F.lit("belief").alias("kind"), F.col("valid_from_us").alias("ordinal_us"), F.concat_ws("|", "scope", "about_entity_id").alias("id"), _json(type=F.lit("belief"), scope=F.col("scope"), about=F.col("about_entity_id"), stance=F.col("stance"), claim=F.col("claim"), confidence=F.col("confidence"), valid_from=F.timestamp_micros("valid_from_us")).alias("line"))
+    return a.unionByName(b).unionByName(c)
 
 
 def pack_stream(pack: DataFrame) -> DataFrame:

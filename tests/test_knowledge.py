@@ -312,3 +312,11 @@ def test_recall_routes_and_fuses_all_channels(spark):
     bonus = spark.createDataFrame([("old", 2.0)], "fact_id string, bonus double")
     plain_, widened, lifted = ({r.fact_id: r.score for r in retrieval.recall(*args, "acme signed", [1.0, 0.0], "2026-01-01 00:00:00", **more).collect()} for more in ({}, {"synonyms": synonyms}, {"synonyms": synonyms, "bonus": bonus}))
     assert "old" not in plain_ and set(widened) == set(lifted) == {"old"} and lifted["old"] == pytest.approx(widened["old"] + 2)
+
+
+def test_export_has_beliefs(spark):
+    events = spark.createDataFrame([("s", "ev1", "note", "{}", False, T0)], "scope string, event_id string, modality string, content string, excluded_from_recall boolean, observed_at timestamp")
+    believed = spark.createDataFrame([("s", "e1", "likely_true", 0.9, "x has 1", 5)], "scope string, about_entity_id string, stance string, confidence double, claim string, valid_from_us long")
+    held = spark.createDataFrame([], "fact_id string, scope string, subject_id string, predicate string, confidence double, valid_from timestamp, recorded_to timestamp")
+    lines = {r.kind: json.loads(r.line) for r in ingest.export_lines(events, held, believed).collect()}
+    assert set(lines) == {"event", "belief"} and lines["belief"]["type"] == "belief" and (lines["belief"]["about"], lines["belief"]["stance"]) == ("e1", "likely_true")
