@@ -80,6 +80,34 @@ def import_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.from_openai(memories, "org:norvane").select("modality", "idempotency_key", F.get_json_object("content", "$.text").alias("text"))
 
 
+_TEXT = "sha256(coalesce(text, '')) AS text_hash, CAST(length(coalesce(text, '')) AS BIGINT) AS n_characters"
+
+
+def _hashed(envelopes: DataFrame, *columns: str) -> DataFrame:
+    """Columns of envelopes, and hash and length of their text as it comes out of the JSON again."""
+    text = F.get_json_object("content", "$.text")
+    return envelopes.select(*columns, F.sha2(text, 256).alias("text_hash"), F.length(text).cast("long").alias("n_characters"))
+
+
+@registry.add("import_mem0_texts", f"SELECT '{SCOPE}/src:' || coalesce(source, '{{source}}') AS scope, 'conversation' AS modality, {_TEXT} FROM documents")
+def import_mem0_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through an importer."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("memory"), F.col("created_at").cast("string").alias("timestamp"), F.array(F.col("lang")).alias("labels"), F.col("source").alias("intent"), "source")
+    return _hashed(ingest.from_mem0(docs, SCOPE, SCOPE + "/src:{source}"), "scope", "modality")
+
+
+@registry.add("import_letta_texts", f"SELECT 'org:norvane' AS scope, 'document' AS modality, {_TEXT} FROM documents")
+def import_letta_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "documents").select("text", F.col("source").alias("label"))
+    return _hashed(ingest.from_letta(blocks, "org:norvane"), "scope", "modality")
+
+
+@registry.add("import_openai_texts", f"SELECT 'observation' AS modality, CAST(doc_id AS VARCHAR) AS idempotency_key, {_TEXT} FROM documents")
+def import_openai_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return _hashed(ingest.from_openai(memories, "org:norvane"), "modality", "idempotency_key")
+
+
 _ZEP = f"SELECT s.canonical_name AS subject, f.predicate, o.canonical_name AS object, f.valid_from, f.valid_to, f.confidence FROM {FACTS} f JOIN {ENTITIES} s ON s.entity_id = f.subject_id JOIN {ENTITIES} o ON o.entity_id = f.object_entity_id WHERE f.object_type = 'entity'"
 
 

@@ -320,3 +320,17 @@ def test_export_has_beliefs(spark):
     held = spark.createDataFrame([], "fact_id string, scope string, subject_id string, predicate string, confidence double, valid_from timestamp, recorded_to timestamp")
     lines = {r.kind: json.loads(r.line) for r in ingest.export_lines(events, held, believed).collect()}
     assert set(lines) == {"event", "belief"} and lines["belief"]["type"] == "belief" and (lines["belief"]["about"], lines["belief"]["stance"]) == ("e1", "likely_true")
+
+
+def test_importers_take_whole_texts(spark, tmp_path):
+    """Long, dirty and empty texts come out of the envelopes as they went in."""
+    from hashlib import sha256
+
+    from chronoweave.plans import knowledge
+
+    dirty = 'a "b" \\ \t\u0001 é 漢 \U0001f600\r\n' * 5000
+    rows = [(1, dirty, "t", "web", "en", T0), (2, None, "t", None, "de", T0), (3, "", None, "web", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, title string, source string, lang string, created_at timestamp").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((sha256((r[1] or "").encode()).hexdigest(), len(r[1] or "")) for r in rows)
+    for query in (knowledge.import_mem0_texts, knowledge.import_letta_texts, knowledge.import_openai_texts):
+        assert sorted((r.text_hash, r.n_characters) for r in query(spark, str(tmp_path)).collect()) == want
