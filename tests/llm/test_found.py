@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from chronoweave.llm import groups, neighbours, quality, splitting
+from chronoweave.llm import groups, neighbours, splitting
 
 
 def components(pairs):
@@ -139,50 +139,3 @@ def test_neighbours_of_few(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "entity_id string, embedding array<float>")
     assert {tuple(r) for r in neighbours.neighbour_pairs(df, "entity_id", "embedding", 5, dimensions=2).collect()} == {("a", "b")}
     assert neighbours.neighbour_pairs(df.limit(0), "entity_id", "embedding", 5, dimensions=2).count() == 0
-
-
-PROSE = "We checked the pump first because the same alarm had come up last week. It was ruled out after we changed the filter, and nobody has seen it since then."
-TABLE = "\n".join(f"Q{i}\t{i * 7}.5\tNaN\t-\tok" for i in range(100, 140))
-
-
-@pytest.mark.parametrize(
-    ("text", "prose"),
-    [
-        (PROSE, True),
-        (PROSE.lower().replace(". ", "\n"), True),
-        ("复机之后先跑了一片监控片，结果在规格之内。我宁可再等一次测量，也不想现在就下结论。", True),
-        ("Die Ursache ist noch nicht bestätigt, aber vieles spricht für eine gealterte Dichtung.", True),
-        (TABLE, False),
-        ("\n".join(f"- spare pump x{i}" for i in range(20)), False),
-        ('{"a": {"b": 1.5, "c": [1, 2, 3]}}', False),
-        ("qwpo zxmv trwq ploi mnbv qazx wsxe dcrf vtgb yhnu jmik", False),
-        ("T0l roo¬ ca!se §~ §o: biliev!d to be u,:ven co§0;n§, wi¬h a con!idl!ce 1f ~b§ut", False),
-        (PROSE + "\n" + TABLE, False),
-    ],
-)
-def test_sentence_share(text, prose):
-    assert (quality.statistics(text)[1 + quality.STATS.index("sentence_share")] >= 0.5) == prose
-
-
-def test_quality_of_documents(spark):
-    rows = [(i, f"{PROSE} Case {i}." if i % 3 else TABLE + str(i), "x") for i in range(90)] + [(100, None, "x"), (101, "  \n", "x"), (102, "", "x")]
-    stats = quality.document_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang_found string")).cache()
-    assert stats.count() == 90
-    scored = quality.outlierness(stats, quality.robust_fit(stats))
-    assert {r.doc_id for r in quality.not_prose(scored).collect()} == {i for i in range(90) if i % 3 == 0}
-    r = scored.first()
-    assert abs(sum(r[f"part_{s}"] for s in quality.STATS) - r.distance2) < 1e-6
-    assert quality.robust_fit(stats.limit(0)) == {}
-    assert quality.not_prose(quality.outlierness(stats.limit(0), {})).count() == 0
-
-
-def test_language_is_of_the_whole_text():
-    """Prose in the other language after a long list, in one line of a text, and function words only by chance."""
-    listed = "\n".join(f"part {i:05} as in of by {i * 7919 % 100003}" if i % 40 == 0 else f"x{i:05} {i * 7919 % 100003}" for i in range(330))
-    prose = "Die Pumpe wurde nach dem Wechsel der Dichtung wieder in Betrieb genommen, weil der Druck nicht mehr zu hoch war.\n" * 40
-    assert len(listed) > 4000 and quality.statistics(listed + "\n" + prose)[0] == "de"
-    share, common = (1 + quality.STATS.index(x) for x in ("sentence_share", "common_share"))
-    english = "The pump was taken back into operation after the change of the seal, because the pressure was not too high any more.\n"
-    mixed = quality.statistics(english * 5 + prose)
-    assert mixed[0] == "de" and mixed[share] == 1.0 and mixed[common] > 0.4
-    assert quality.statistics(english * 5)[1:] == pytest.approx(quality.statistics(english * 5 + "\n \n")[1:])
