@@ -1,14 +1,16 @@
-"""The most similar vectors of every vector, through a permutation index.
-
-A vector is represented by its nearest pivots in order of nearness (Chavez, Figueroa and Navarro, Effective Proximity
-Retrieval by Ordering Permutations, 2008; inverted files as in Amato and Savino's MI-File, 2008). It is posted in the
-inverted file of each of its first ``posts`` pivots with the first ``prefix`` ranks. Inside a file, the entries are
-ranked for each query by the footrule distance of the ranks; the best ``candidates`` are reranked by cosine similarity
-and the nearest of them leave the file. The results of a query's files are merged.
-
-Files stay small because the pivots are a random sample of the vectors, whose number grows with the power 0.75 of
-theirs: dense regions have as many more pivots as they have more vectors. Equal vectors are one entry. A file that is
-still large is split by query over several tasks.
+"""The most similar vectors of every vector, through a permutation index in two levels.
+
+A vector is represented by its nearest pivots in order of nearness and posted in the inverted file of each of them with
+its rank there (Chavez, Figueroa and Navarro, Effective Proximity Retrieval by Ordering Permutations, 2008; Amato and
+Savino's MI-File, 2008). A query opens the files of its own nearest pivots, adds up the footrule distance of the ranks
+over them, and only the ``candidates`` nearest by footrule are fetched and reranked by cosine similarity.
+
+The first level are centres, a random sample of the vectors, one for about ``CELL`` of them. A vector is an entry of its
+nearest centre's cell and a query in the cells of its ``visits`` nearest centres. Each cell has an index of its own,
+with pivots sampled from its entries, one for every ``SPARSENESS`` of them, so the files keep their size however many
+vectors there are. Dense regions have as many more centres as they have more vectors; a cell that is large all the same
+is dealt over several indexes, all of which its queries visit. Who is found by a vector also finds it: results count in
+both directions. Vectors of equal direction are one entry.
 """
 
 from __future__ import annotations
@@ -17,16 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.ordered import skew_safe_lookup
 from chronoweave.session import checkpointed
 
 DIMENSIONS = 64
-MAX_PIVOTS = 16_384
-#: Entries of a file that one task takes as queries.
-SPLIT = 4_096
+#: Vectors for each centre, queries that one task answers at one cell, and entries of a cell for each pivot.
+CELL, BLOCK, SPARSENESS = 32_768, 32_768, 12
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -37,152 +38,228 @@ def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = DIMENSIO
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     v = F.col(vector)
     fine = F.col(key).isNotNull() & (F.size(v) == dimensions) & F.forall(v, good) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(fine).groupBy(key).agg(F.max(v.cast("array<double>")).alias("vec"))
+    return vectors.filter(fine).groupBy(key).agg(F.max(v).alias("vec"))
 
 
 def with_direction(rows: DataFrame) -> DataFrame:
     """``rows`` with ``__h``, 128 bits of hash of the vector's direction to 6 decimals."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.zip_with("vec", F.array_repeat(norm, F.size("vec")), lambda x, n: F.rint(x / n * 1e6).cast("long"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = F.zip_with("vec", F.array_repeat(norm, F.size("vec")), lambda x, n: F.rint(x.cast("double") / n * 1e6).cast("long"))
     return rows.withColumn("__u", unit).withColumn("__h", F.concat_ws(":", F.xxhash64("__u"), F.xxhash64(F.lit(1), "__u"))).drop("__u")
 
 
 def classes(unit: DataFrame, key: str, k: int) -> tuple[DataFrame, DataFrame]:
     """Vectors of equal direction (:func:`with_direction`) as classes, and each member's class.
 
-    First: ``rep`` (the smallest key), ``vec`` (its), ``ids`` (the k + 1 smallest keys). Second: ``key``, ``rep``.
+    First: ``no`` (a number), ``vec`` (of the smallest key), ``ids`` (the k + 1 smallest keys). Second: ``key``, ``no``,
+    ``ids``.
     The row_number limit is applied before the shuffle, so a class with a large part of all rows is reduced first.
     """
     few = unit.withColumn("__r", F.row_number().over(Window.partitionBy("__h").orderBy(key))).filter(F.col("__r") <= k + 1)
-    reps = few.groupBy("__h").agg(F.array_sort(F.collect_list(key)).alias("ids"), F.min_by("vec", key).alias("vec")).withColumn("rep", F.col("ids")[0])
-    reps = checkpointed(reps)
-    members = skew_safe_lookup(unit.select(key, "__h"), reps.select("__h", "rep", "ids"), ["__h"], how="inner")
-    return reps.select("rep", "vec", "ids"), members.select(key, "rep", "ids")
+    reps = few.groupBy("__h").agg(F.array_sort(F.collect_list(key)).alias("ids"), F.min_by("vec", key).alias("vec"))
+    reps = checkpointed(reps.withColumn("no", F.monotonically_increasing_id()))
+    members = skew_safe_lookup(unit.select(key, "__h"), reps.select("__h", "no", "ids"), ["__h"], how="inner")
+    return reps.select("no", "vec", "ids"), members.select(key, "no", "ids")
 
 
-def sample_pivots(reps: DataFrame, n: int) -> np.ndarray:
-    """A seeded sample of ``n`` vectors (unit length), the only rows that come to the driver: at most ``MAX_PIVOTS``."""
-    rows = reps.select("vec", F.xxhash64("rep").alias("__o")).orderBy("__o").limit(n).collect()
+def sample_centres(reps: DataFrame, n: int) -> np.ndarray:
+    """A seeded sample of ``n`` vectors (unit length), the only rows that come to the driver: one for ``CELL`` vectors."""
+    rows = reps.select("vec", F.xxhash64("no").alias("__o")).orderBy("__o").limit(n).collect()
     found = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+    return units_of(found).astype(np.float32)
+
+
+def units_of(raw: np.ndarray) -> np.ndarray:
+    unit = raw.astype(np.float64)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
 
-def permutations(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+def permutations(unit: np.ndarray, pivots: np.ndarray, prefix: int, block: int = 2048) -> np.ndarray:
     """The nearest ``prefix`` pivots of each vector, in order."""
-    near = unit @ pivots.T
-    if prefix < near.shape[1]:
-        first = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix]
+    width, out = min(prefix, len(pivots)), []
+    for lo in range(0, len(unit), block):
+        near = unit[lo : lo + block] @ pivots.T
+        first = np.argpartition(-near, width - 1, axis=1)[:, :width]
         order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
-        return np.take_along_axis(first, order, 1)
-    return np.argsort(-near, axis=1, kind="stable")
+        out.append(np.take_along_axis(first, order, 1))
+    return np.concatenate(out) if out else np.zeros((0, width), np.int64)
 
 
-def units_of(raw: np.ndarray) -> np.ndarray:
-    unit = raw.astype(np.float64)
-    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+def mixed(no: np.ndarray, salt: int) -> np.ndarray:
+    """An even hash of numbers, from 0 to 2 ** 31."""
+    x = (no.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(33)).astype(np.int64)
 
 
-def blocks(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def blocks(batches: Iterator[pd.DataFrame], rows: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for lo in range(0, len(batch), rows):
             part = batch.iloc[lo : lo + rows]
-            yield part, np.stack(part["vec"].to_numpy())
+            yield part["no"].to_numpy(), np.stack(part["vec"].to_numpy())
 
 
-def post(pivots: np.ndarray, prefix: int, posts: int, kind: str):
-    """For mapInPandas: one row per vector and inverted file, with its permutation prefix and the vector as ``kind``."""
+def nearest_centres(vec: np.ndarray, centres: np.ndarray, visits: int) -> np.ndarray:
+    return permutations(units_of(vec).astype(np.float32), centres, visits)
+
+
+def count_visits(centres: np.ndarray, visits: int):
+    """For mapInPandas: how many entries and queries each cell gets from these rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, vec in blocks(batches):
-            perm = permutations(units_of(vec), pivots, prefix)
-            width = min(posts, perm.shape[1])
-            order = np.repeat(np.arange(len(part)), width)
-            ranks, raw = [p.tobytes() for p in perm.astype("<i2")], [v.tobytes() for v in vec.astype(kind)]
-            reps = part["rep"].to_numpy()
-            yield pd.DataFrame({"pivot": perm[:, :width].ravel().astype(np.int32), "rep": reps[order], "perm": [ranks[i] for i in order], "raw": [raw[i] for i in order]})
+        entries, queries = np.zeros(len(centres), np.int64), np.zeros(len(centres), np.int64)
+        for _, vec in blocks(batches):
+            cells = nearest_centres(vec, centres, visits)
+            entries += np.bincount(cells[:, 0], minlength=len(centres))
+            queries += np.bincount(cells.ravel(), minlength=len(centres))
+        yield pd.DataFrame({"cell": np.arange(len(centres), dtype=np.int32), "entries": entries, "queries": queries})
 
     return run
 
 
-def count_posts(pivots: np.ndarray, posts: int):
-    """For mapInPandas: how many entries each inverted file gets from these rows."""
+QUERY, ENTRY, BOTH = 0, 1, 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(pivots), np.int64)
-        for _, vec in blocks(batches):
-            total += np.bincount(permutations(units_of(vec), pivots, min(posts, len(pivots))).ravel(), minlength=len(pivots))
-        yield pd.DataFrame({"pivot": np.flatnonzero(total).astype(np.int32), "n": total[total > 0]})
 
-    return run
+def apart(spark: SparkSession, n: int) -> np.ndarray:
+    """``n`` numbers that hash partitioning into ``n`` partitions puts into one each: no two tasks wait for each other."""
+    tried = spark.range(20 * n + 100).groupBy(F.expr(f"pmod(hash(id), {n})").alias("part")).agg(F.min("id").alias("id")).collect()  # n rows
+    free = iter(range(-1, -n - 1, -1))
+    found = {r["part"]: r["id"] for r in tried}
+    return np.array([found.get(i, next(free)) for i in range(n)], np.int64)
 
 
-def footrule(positions: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Footrule distances, a row per query and a column per entry: sum over the query's pivots of |rank there - rank here|.
+def post(centres: np.ndarray, visits: int, shards: np.ndarray, splits: np.ndarray, keys: np.ndarray, kind: str):
+    """For mapInPandas: one row per vector and index task it has to do with, as an entry, as a query or as both.
 
-    ``positions`` has a row per pivot of the file and a column per entry: the entry's rank of the pivot, or the
-    prefix length if it isn't among its first. ``queries`` has the local pivots of each query in order.
+    A cell has ``shards`` indexes over parts of its entries and ``splits`` tasks for each, which answer parts of its
+    queries. The entries of an index go to all of its tasks, a query to one task of each index of the cells it visits.
+    ``keys`` are the names of the tasks, cell by cell.
     """
-    out = np.zeros((len(queries), positions.shape[1]), np.int16)
-    for rank in range(queries.shape[1]):
-        out += np.abs(positions[queries[:, rank]] - np.int16(rank))
-    return out
+    first = np.cumsum(shards * splits) - shards * splits
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for no, vec in blocks(batches):
+            cells, at = nearest_centres(vec, centres, visits), np.arange(len(no))
+            rows = []
+            for place in range(cells.shape[1]):
+                cell = cells[:, place]
+                own = mixed(no, 1) % shards[cell]
+                turn = mixed(no, 2) % splits[cell]
+                for shard in range(int(shards[cell].max())):
+                    there = shards[cell] > shard
+                    entry = there & (own == shard) & (place == 0)
+                    rows.append((at[there], cell[there], shard, turn[there], np.where(entry[there], BOTH, QUERY)))
+                    for split in range(int(splits[cell[entry]].max()) if entry.any() else 0):
+                        more = entry & (splits[cell] > split) & (turn != split)
+                        rows.append((at[more], cell[more], shard, np.full(more.sum(), split), np.full(more.sum(), ENTRY)))
+            which = np.concatenate([r[0] for r in rows])
+            task = keys[np.concatenate([first[r[1]] + r[2] * splits[r[1]] + r[3] for r in rows])]
+            raw = [v.tobytes() for v in vec.astype(kind)]
+            yield pd.DataFrame({"task": task, "no": no[which], "role": np.concatenate([r[4] for r in rows]).astype(np.int8), "raw": [raw[i] for i in which]})
 
-def search_file(reps: np.ndarray, perms: np.ndarray, units: np.ndarray, queries: np.ndarray, candidates: int, k: int, block: int = 128) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Per query (an index into the file) its k nearest entries of the file among the best by footrule distance.
+    return run
 
-    The best are ``candidates`` entries, or half of the file if that is more. Only they are reranked; their
-    similarities come from one matrix product with the block's queries, which costs less than gathering them would.
-    Equal similarities (at 6 decimals) go to the smaller key.
-    """
-    n, prefix = perms.shape
-    known, local = np.unique(perms, return_inverse=True)
-    local = local.reshape(perms.shape)
-    positions = np.full((len(known), n), prefix, np.int16)
-    positions[local.T, np.arange(n)[None, :]] = np.arange(prefix, dtype=np.int16)[:, None]
-    most, width = max(candidates, n // 2), min(k, n - 1)
-    if width < 1:
-        return
-    place = np.empty(n, np.int64)
-    place[np.argsort(reps, kind="stable")] = np.arange(n)
-    none = np.iinfo(np.int64).min // 2
-    for lo in range(0, len(queries), block):
-        q = queries[lo : lo + block]
-        # Similarity in millionths, then the place of the key: one number that orders the entries and has no ties.
-        near = np.rint(units[q] @ units.T * 1e6).astype(np.int64) * n - place
-        if n - 1 > most:
-            away = footrule(positions, local[q])
-            near[away > np.partition(away, most, axis=1)[:, most][:, None]] = none
-        near[np.arange(len(q)), q] = none
-        best = np.argpartition(near, n - width, axis=1)[:, n - width :]
-        value = np.take_along_axis(near, best, 1)
-        order = np.argsort(-value, axis=1)
-        best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
-        sims = (value + place[best]) // n / 1e6
-        for i, (row, sim, real) in enumerate(zip(reps[best], sims, value > none, strict=True)):
-            yield reps[q[i]], row[real], sim[real]
-
-
-def search(candidates: int, k: int, kind: str):
-    """For applyInPandas over one inverted file (or a part of its queries): ``rep``, ``near`` and ``sims`` (arrays)."""
-
-    def run(file: pd.DataFrame) -> pd.DataFrame:
-        reps = file["rep"].to_numpy()
-        perms = np.stack([np.frombuffer(x, "<i2") for x in file["perm"]])
-        units = units_of(np.stack([np.frombuffer(x, kind) for x in file["raw"]]))
-        asks = np.flatnonzero(file["asks"].to_numpy())
-        return pd.DataFrame(list(search_file(reps, perms, units, asks, candidates, k)), columns=["rep", "near", "sims"])
+
+def by_place(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order that follows the nearest of a few of them, so that neighbours get near numbers."""
+    few = pivots[: max(1, int(len(pivots) ** 0.5))]
+    return pivots[np.argsort((pivots @ few.T).argmax(1), kind="stable")]
+
+
+class Files:
+    """The inverted files over the entries of one cell: per pivot the entries that have it among their nearest, with ranks."""
+
+    def __init__(self, unit: np.ndarray, no: np.ndarray, prefix: int, sparseness: int = SPARSENESS):
+        n = len(unit)
+        chosen = np.argsort(mixed(no, 3), kind="stable")[: min(n, max(32, n // sparseness))]
+        self.pivots = by_place(unit[np.sort(chosen)])
+        perm = permutations(unit, self.pivots, prefix)
+        #: The entries in the order of their nearest pivot: files hold places in it.
+        self.order = np.argsort(perm[:, 0], kind="stable")
+        perm = perm[self.order]
+        self.prefix, self.n = perm.shape[1], n
+        order = np.argsort(perm.ravel(), kind="stable")
+        self.entry, self.rank = order // self.prefix, order % self.prefix
+        self.start = np.searchsorted(perm.ravel()[order], np.arange(len(self.pivots) + 1))
+        gain = np.arange(self.prefix)
+        #: What an entry's rank (column) of a query's pivot of some rank (row of the square) takes off the largest footrule distance.
+        self.gain = ((self.prefix - gain)[:, None] - np.abs(gain[:, None] - gain[None, :])).astype(np.float64).ravel()
+
+    def candidates(self, perm: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` entries with the smallest footrule distance over the query's pivots (all with equal distance as
+        the last are in or out together, unless there are none else)."""
+        lo, hi = self.start[perm], self.start[perm + 1]
+        met = np.concatenate([self.entry[a:b] for a, b in zip(lo, hi, strict=True)])
+        ranks = np.concatenate([self.rank[a:b] for a, b in zip(lo, hi, strict=True)])
+        near = np.bincount(met, np.take(self.gain, np.repeat(np.arange(self.prefix) * self.prefix, hi - lo) + ranks), minlength=self.n)
+        found = np.flatnonzero(near > 0)
+        if len(found) <= most:
+            return found
+        score = near[found].astype(np.int64)
+        above = np.cumsum(np.bincount(score)[::-1])[::-1]
+        least = int(np.searchsorted(-above, -most))
+        return found[score >= least] if least < len(above) else found[score == score.max()]
+
+
+def search(prefix: int, candidates: int, k: int, kind: str, sparseness: int = SPARSENESS):
+    """For applyInPandas over the rows of one task: per query its k nearest entries (``near``, numbers) and ``sims``."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("no", kind="stable")
+        no, role = part["no"].to_numpy(), part["role"].to_numpy()
+        exact = units_of(np.stack([np.frombuffer(x, kind) for x in part["raw"]]))
+        quick = exact.astype(np.float32)
+        entry, query = np.flatnonzero(role != QUERY), np.flatnonzero(role != ENTRY)
+        if not len(entry) or not len(query):
+            return pd.DataFrame({"no": [], "near": [], "sims": []})
+        files = Files(quick[entry], no[entry], prefix, sparseness)
+        entry = entry[files.order]
+        inside = quick[entry]
+        perms = permutations(quick[query], files.pivots, prefix)
+        out = []
+        # Entries and queries in the order of their nearest pivots: one after the other they need much the same entries.
+        for at in np.argsort(perms[:, 0], kind="stable"):
+            i, perm = query[at], perms[at]
+            found = files.candidates(perm, candidates)
+            sims = np.einsum("ij,j->i", inside[found], quick[i])  # no threads for so little
+            if len(found) > k + 8:  # a few more than k, whose exact order is decided with double precision
+                found = found[np.argpartition(-sims, k + 7)[: k + 8]]
+            found = found[no[entry[found]] != no[i]]
+            sims = np.round(exact[entry[found]] @ exact[i], 6)
+            best = np.argsort(-sims, kind="stable")[:k]
+            if len(best):
+                out.append((no[i], no[entry[found[best]]], sims[best]))
+        return pd.DataFrame(out, columns=["no", "near", "sims"])
 
     return run
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: int = DIMENSIONS, prefix: int = 32, posts: int = 16, candidates: int = 1000, pivots: int | None = None) -> DataFrame:
+def found_links(reps: DataFrame, n: int, k: int, kind: str, visits: int, prefix: int, candidates: int, cell: int, block: int, sparseness: int) -> DataFrame:
+    """``no``, ``near``, ``sim``: what the index finds, each link in both directions and once."""
+    centres = sample_centres(reps, max(1, -(-n // cell)))
+    bound = reps.sparkSession.sparkContext.broadcast(centres)
+    visited = min(visits, len(centres))
+    given = reps.select("no", "vec")
+    counted = given.mapInPandas(lambda b: count_visits(bound.value, visited)(b), "cell int, entries long, queries long")
+    sizes = counted.groupBy("cell").agg(F.sum("entries").alias("entries"), F.sum("queries").alias("queries")).collect()  # one row per centre
+    shards, splits = np.ones(len(centres), np.int64), np.ones(len(centres), np.int64)
+    for r in sizes:
+        shards[r["cell"]] = max(1, -(-r["entries"] // (2 * cell)))
+        splits[r["cell"]] = max(1, -(-r["queries"] // block))
+    keys = apart(reps.sparkSession, int((shards * splits).sum()))
+    posted = given.mapInPandas(lambda b: post(bound.value, visited, shards, splits, keys, kind)(b), "task long, no long, role byte, raw binary")
+    near = posted.repartition(len(keys), "task").groupBy("task").applyInPandas(search(prefix, candidates, 2 * k, kind, sparseness), "no long, near array<long>, sims array<double>")
+    there = near.select("no", F.explode(F.arrays_zip("near", "sims")).alias("n")).select("no", F.col("n.near").alias("near"), F.col("n.sims").alias("sim"))
+    both = there.select(F.explode(F.array(F.struct("no", "near", "sim"), F.struct(F.col("near").alias("no"), F.col("no").alias("near"), "sim"))).alias("x")).select("x.*")
+    return both.groupBy("no", "near").agg(F.max("sim").alias("sim"))
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: int = DIMENSIONS, visits: int = 4, prefix: int = 16, candidates: int = 1000, cell: int = CELL, block: int = BLOCK, sparseness: int = SPARSENESS) -> DataFrame:
     """``key``, ``other``, ``similarity``, ``rank``: the k most similar vectors of every usable vector.
 
     Similarity is the cosine rounded to 6 decimals; ties go to the smaller key. Unusable vectors are in no row. With
-    fewer than k + 1 usable vectors each has all others; with one or none there is no row. ``pivots`` defaults to
-    0.2 n^0.75, at least 8 and at most ``MAX_PIVOTS``. Members of a class of k + 1 or more equal vectors have the
-    smallest keys of their class.
+    fewer than k + 1 usable vectors each has all others; with one or none there is no row. Members of a class of k + 1
+    or more equal vectors have the smallest keys of their class. ``candidates`` are reranked at each cell visited.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     rows = checkpointed(with_direction(usable(vectors, key, vector, dimensions)))
@@ -190,28 +267,16 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dimensions: i
     n = reps.count()
     id_type = dict(rows.dtypes)[key]
     if n:
-        marks = sample_pivots(reps, min(MAX_PIVOTS, max(8, pivots or int(0.2 * n**0.75))))
-        bound = rows.sparkSession.sparkContext.broadcast(marks)
-        width = min(prefix, len(marks))
-        given = reps.select("rep", "vec")
-        sizes = given.mapInPandas(lambda b: count_posts(bound.value, posts)(b), "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n"))
-        parts = {r["pivot"]: -(-r["n"] // SPLIT) for r in sizes.filter(F.col("n") > SPLIT).collect()}  # at most MAX_PIVOTS rows
-        posted = given.mapInPandas(lambda b: post(bound.value, width, posts, kind)(b), f"pivot int, rep {id_type}, perm binary, raw binary")
-        split = F.lit(1)
-        if parts:
-            split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("pivot")), F.lit(1))
-        posted = posted.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).withColumn("asks", F.pmod(F.xxhash64("rep"), split) == F.col("part"))
-        near = posted.groupBy("pivot", "part").applyInPandas(search(candidates, k, kind), f"rep {id_type}, near array<{id_type}>, sims array<double>")
-        pairs = near.select("rep", F.explode(F.arrays_zip("near", "sims")).alias("n")).groupBy("rep", F.col("n.near").alias("near")).agg(F.max("n.sims").alias("sim"))
-        best = pairs.withColumn("__r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "near"))).filter(F.col("__r") <= k)
-        best = checkpointed(best)
-        others = skew_safe_lookup(best, reps.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids")), ["near"], how="inner").select("rep", "sim", F.explode(F.slice("near_ids", 1, k)).alias("other"))
+        links = found_links(reps, n, k, kind, visits, prefix, candidates, cell, block, sparseness)
+        best = links.withColumn("__r", F.rank().over(Window.partitionBy("no").orderBy(F.desc("sim")))).filter(F.col("__r") <= k).drop("__r")
+        ids = reps.select(F.col("no").alias("near"), F.slice("ids", 1, k).alias("near_ids"))
+        others = skew_safe_lookup(checkpointed(best), ids, ["near"], how="inner").select("no", "sim", F.explode("near_ids").alias("other"))
     else:
-        others = rows.sparkSession.createDataFrame([], f"rep {id_type}, sim double, other {id_type}")
+        others = rows.sparkSession.createDataFrame([], f"no long, sim double, other {id_type}")
     # Members of large classes find all they need in their class; of the others there are at most k in a class.
     own = members.select(key, F.explode("ids").alias("other"), F.lit(1.0).alias("sim")).filter(F.col(key) != F.col("other"))
-    asking = members.filter(F.size("ids") <= k).select(key, "rep")
-    found = own.select(key, "other", "sim").unionByName(asking.join(others, "rep").select(key, "other", "sim"))
+    asking = members.filter(F.size("ids") <= k).select(key, "no")
+    found = own.select(key, "other", "sim").unionByName(asking.join(others, "no").select(key, "other", "sim"))
     w = Window.partitionBy(key).orderBy(F.desc("sim"), "other")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(key, "other", F.col("sim").alias("similarity"), "rank")
 
