@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.operators.ordered import MIN_HOT_ROWS, Ordered
+from chronoweave.operators.ordered import MIN_HOT_ROWS, Ordered, skew_safe_lookup
 from chronoweave.session import checkpointed
 
 #: The knapsack runs over at most so many tokens; what lies above is filled before.
@@ -128,7 +128,7 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], key: str = "doc
 
     takes = counts.groupBy("source").applyInPandas(fit, "source string, n_tokens long, take long, passes long")
     drawn = Ordered(rows.withColumn("__h", F.xxhash64(F.lit(seed), key)).withColumn("__1", F.lit(1)), ["source", "n_tokens"], ["__h", key], min_rows, min_rows).running_sum("__1", "__place").result()
-    uses = drawn.join(takes, ["source", "n_tokens"]).withColumn("n_uses", F.col("passes") + F.when(F.col("__place") <= F.col("take"), 1).otherwise(0))
+    uses = skew_safe_lookup(drawn, takes, ["source", "n_tokens"], min_rows, "inner").withColumn("n_uses", F.col("passes") + F.when(F.col("__place") <= F.col("take"), 1).otherwise(0))
     return uses.filter(F.col("n_uses") > 0).select(key, "source", "n_tokens", "n_uses")
 
 

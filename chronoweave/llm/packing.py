@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,16 +51,35 @@ class Stock:
         """The largest size of at most ``gap``, 0 if there is none."""
         return max(0, (self.bits & ((1 << (gap + 1)) - 1)).bit_length() - 1)
 
-    def pair(self, gap: int, least: int) -> tuple[int, int] | None:
-        """Sizes of two items with the largest sum in (least, gap]."""
-        for total in range(gap, least, -1):
+    def pair(self, gap: int, least: int, tried: int = 48) -> tuple[int, int] | None:
+        """Sizes of two items with the largest sum in (least, gap], of those with equal sums the most unequal two.
+
+        The sums nearest to the gap are tried on the bit sets: where there are many sizes one of them is met. If not,
+        every size is paired with the largest that fits beside it.
+        """
+        for total in range(gap, max(least, gap - tried), -1):
             found = self.bits & (self.mirror >> (self.capacity - total))
             if total % 2 == 0 and found >> (total // 2) & 1 and len(self.items[total // 2]) < 2:
                 found ^= 1 << (total // 2)
             if found:
                 big = found.bit_length() - 1
                 return big, total - big
-        return None
+        return self._pair_of_few(gap, least) if gap - tried > least else None
+
+    def _pair_of_few(self, gap: int, least: int) -> tuple[int, int] | None:
+        sizes = np.array(sorted(s for s, items in self.items.items() if items and s < gap), np.int64)
+        if not len(sizes):
+            return None
+        beside = np.searchsorted(sizes, gap - sizes, side="right") - 1
+        # A size with a single item can't stand beside itself.
+        lone = np.array([len(self.items[s]) < 2 for s in sizes.tolist()])
+        beside -= (beside == np.arange(len(sizes))) & lone
+        total = np.where(beside >= 0, sizes + sizes[beside.clip(0)], -1)
+        best = int(total.max())
+        if best <= least:
+            return None
+        big = int(sizes[np.flatnonzero(total == best)[-1]])
+        return max(big, best - big), min(big, best - big)
 
 
 def best_two_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -89,8 +109,8 @@ def pack(items: DataFrame, windows: list[tuple[str, int]], key: str = "doc_id",
     split: into pieces of the capacity, each a container, and a rest that is packed like an item. An item of size 0 or
     null needs no space and gets a row without container. A key that is repeated is one item, of its largest size.
 
-    Items are spread by hash over tasks of about ``per_task``; the containers that a task leaves below ``full`` are
-    opened once more and their items packed together with those of the other tasks.
+    Items are spread by hash over tasks of about ``per_task``; the containers that a task leaves below ``full`` (0.98 of
+    the capacity) are opened once more and their items packed together with those of the other tasks.
     """
     kind = dict(items.dtypes)[key]
     schema = f"window_name string, container_id string, `{key}` {kind}, piece_no int, start long, size long, used long, capacity long"
@@ -124,11 +144,10 @@ def pack(items: DataFrame, windows: list[tuple[str, int]], key: str = "doc_id",
     parts = split.filter(F.col("size") < F.col("capacity"))
     n = parts.count() // max(1, len(windows))
     packed = spread(parts, n).groupBy("window_name", "shard").applyInPandas(packer(1), schema)
-    if n > per_task:
-        packed = checkpointed(packed)
-        loose = packed.filter(F.col("used") < F.col("capacity") * full).drop("container_id", "used")
-        again = spread(loose, loose.count() // max(1, len(windows))).groupBy("window_name", "shard").applyInPandas(packer(2), schema)
-        packed = packed.filter(F.col("used") >= F.col("capacity") * full).unionByName(again)
+    packed = checkpointed(packed)
+    loose = packed.filter(F.col("used") < F.col("capacity") * full).drop("container_id", "used")
+    again = spread(loose, loose.count() // max(1, len(windows))).groupBy("window_name", "shard").applyInPandas(packer(2), schema)
+    packed = packed.filter(F.col("used") >= F.col("capacity") * full).unionByName(again)
     return packed.unionByName(whole).unionByName(none)
 
 

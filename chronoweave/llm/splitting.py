@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
 BLOCK = 64
-#: Boundaries and their strengths; a cut lies at the end of the match.
-BOUNDARIES = ((re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"), 6), (re.compile(r"\r\n?|\n"), 5), (re.compile(r"[.!?]+[\"')\]]*(?=\s)|[。！？]+[”’」』）]*"), 4), (re.compile(r"[,;:](?=\s)|[，；：、]"), 2), (re.compile(r"[ \t　]+"), 1))
+#: Boundaries and their strengths; a cut lies at the end of the match. A run of marks is read once, from its start.
+BOUNDARIES = ((re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"), 6), (re.compile(r"\r\n?|\n"), 5), (re.compile(r"(?<![.!?])[.!?]++[\"')\]]*+(?=\s)|[。！？]+[”’」』）]*"), 4), (re.compile(r"[,;:](?=\s)|[，；：、]"), 2), (re.compile(r"[ \t　]+"), 1))
 
 
 class RangeMaximum:
@@ -126,9 +126,11 @@ def pieces(items: DataFrame, path: tuple[str, ...], limit: int = LIMIT, overlap:
 
 
 def oversized_pieces(event_log: DataFrame, envelopes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """Pieces of the long texts of the event log (each event once, of its first delivery) and of the raw envelopes."""
+    """Pieces of the long texts of the event log (each event once, of its first delivery) and of the raw envelopes
+    (a file once, its smallest text if it is there with several). Rows without an id have no pieces."""
     long = event_log.filter((F.length("content") > limit) & F.col("event_id").isNotNull())
     once = long.groupBy("event_id").agg(F.min(F.struct("recorded_at", "wal_offset", "content")).alias("e"))
     events = once.select(F.lit("event_log").alias("item_table"), F.col("event_id").alias("item_id"), F.col("e.content").alias("raw"))
-    files = envelopes.select(F.lit("incident_envelopes").alias("item_table"), F.col("file_name").alias("item_id"), "raw")
+    named = envelopes.filter((F.length("raw") > limit) & F.col("file_name").isNotNull()).groupBy("file_name").agg(F.min("raw").alias("raw"))
+    files = named.select(F.lit("incident_envelopes").alias("item_table"), F.col("file_name").alias("item_id"), "raw")
     return pieces(events, ("text",), limit, overlap).unionByName(pieces(files, ("content", "text"), limit, overlap))

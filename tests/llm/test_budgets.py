@@ -1,6 +1,7 @@
 """Packing into containers and mixing to shares."""
 
 import random
+import time
 from collections import Counter
 from itertools import product
 
@@ -33,8 +34,16 @@ def test_stock_pair_against_brute_force():
         sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 8))]
         gap, least = rng.randint(1, 20), rng.randint(0, 10)
         sums = [a + b for i, a in enumerate(sizes) for j, b in enumerate(sizes) if i < j and least < a + b <= gap]
-        found = packing.Stock(sizes, 20).pair(gap, least)
-        assert (sum(found) if found else None) == (max(sums) if sums else None)
+        for tried in (0, 2, 48):
+            found = packing.Stock(sizes, 20).pair(gap, least, tried)
+            assert (sum(found) if found else None) == (max(sums) if sums else None)
+
+
+def test_few_items_of_a_large_capacity_take_little_time():
+    rng, began = random.Random(2), time.monotonic()
+    sizes = [rng.randint(1, 131_072) for _ in range(300)]
+    assert sorted(i for b in packing.best_two_fit(sizes, 131_072) for i in b) == list(range(300))
+    assert time.monotonic() - began < 5
 
 
 def test_pack(spark):

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -74,6 +75,13 @@ def test_cuts_of_text_without_boundaries_and_bad_overlap():
         splitting.cut_points("x", 10, 5)
 
 
+def test_boundaries_of_a_long_run_of_marks_take_little_time():
+    began = time.monotonic()
+    assert splitting.boundary_strengths("." * 400_000 + "x").max() == 0
+    assert list(splitting.boundary_strengths('a..") b')) == [0, 0, 0, 0, 0, 4, 1, 0]
+    assert time.monotonic() - began < 5
+
+
 def test_range_maximum():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1000, 1000)
@@ -95,11 +103,12 @@ def test_oversized_pieces(spark):
     long = "word " * 500
     log = [("e1", 1, json.dumps({"text": long})), ("e1", 2, json.dumps({"text": long})), ("e2", 3, json.dumps({"text": "short"})), ("e3", 4, '{"text": "' + "x" * 3000), ("e4", 5, None), (None, 6, json.dumps({"text": long}))]
     log = spark.createDataFrame([(a, b, c, b, "x") for a, b, c in log], "event_id string, wal_offset long, content string, recorded_at long, item_id string")
-    files = spark.createDataFrame([("f", json.dumps({"content": {"text": "界" * 2001}}, ensure_ascii=True)), ("g", "{}")], "file_name string, raw string")
+    files = spark.createDataFrame([("f", json.dumps({"content": {"text": "界" * 2001}}, ensure_ascii=True)), ("f", json.dumps({"content": {"text": "界" * 2001}}, ensure_ascii=True)), (None, "x" * 3000), ("g", "{}")], "file_name string, raw string")
     got = splitting.oversized_pieces(log, files).collect()
     assert {(r.item_table, r.item_id) for r in got} == {("event_log", "e1"), ("incident_envelopes", "f")}
     first = sorted((r for r in got if r.item_id == "e1"), key=lambda r: r.piece_no)
     assert all(len(r.text) <= 2000 for r in got) and first[0].text[-200:] == first[1].text[:200]
+    assert len(got) == len({(r.item_table, r.item_id, r.piece_no) for r in got})
     assert splitting.oversized_pieces(log.limit(0), files.limit(0)).count() == 0
 
 
