@@ -74,6 +74,8 @@ NICKNAMES = {
     "william": "bill will billy willy liam",
     "zoe": "zo",
 }
+#: Other given names of their own, however near to one of those above: Carlos isn't Charles (fixed values).
+DISTINCT = "agnes ali anders andrea andreas anna bernd carla carlos clara christian christina diego elena emma erik eva gabriel georg gustav hanna ivan jan jana jorge juan julia julian karl karla lars laura lena luca lucia luis maria marie mario mark marta martin mohamed nina nora olga omar paul paula pedro peter petra sara simon sofia stefan sven tomas viktor yuki".split()
 #: Words that aren't part of a name (fixed values).
 TITLES = frozenset("dr prof mx mr mrs ms miss ing dipl phd herr frau sir".split())
 LEGAL = frozenset("ltd limited llc inc incorporated gmbh gesellschaft mbh ag aktiengesellschaft co company corp corporation plc kg sa bv oy ab nv pty the and und".split())
@@ -151,8 +153,8 @@ def neighbourhood(token: str, prefix: int = PREFIX, most: int = 2) -> set[str]:
 
 
 _FORMAL: dict[str, set[str]] = {}
-_WRITTEN = {without_umlauts(_name): _name for _name in NICKNAMES}
-for _name, _short in NICKNAMES.items():
+_WRITTEN = {without_umlauts(_name): _name for _name in (*NICKNAMES, *DISTINCT)}
+for _name, _short in (*NICKNAMES.items(), *((x, "") for x in DISTINCT)):
     for _x in (_name, *_short.split()):
         for _y in (_x, without_umlauts(_x)):
             _FORMAL.setdefault(_y, set()).add(without_umlauts(_name))
@@ -500,7 +502,7 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     # Groups whose names agree with others only loosely join one if no other group fits as well.
     loose = of_full.filter(F.col("errors") >= LOOSE).join(group_of.select(F.col("form").alias("a"), F.col("group_id").alias("own")), "a").join(group_of.withColumnRenamed("form", "b"), "b")
     joined = the_best(loose.filter(F.col("own") != F.col("group_id")).select(F.col("own").alias("a"), "group_id", "errors"))
-    edges = edges.unionByName(joined.select("a", F.col("group_id").alias("b")))
+    later = joined.select("a", F.col("group_id").alias("b"))
 
     # Entities without any full name, by their weak forms.
     sure = strong.filter(F.col("form_kind") == "full").select("entity_id").distinct()
@@ -512,8 +514,14 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     lone = checkpointed(weak_forms.join(met.filter(F.col("errors") < LOOSE).select("a").unionByName(chosen.select("a")).distinct().withColumnRenamed("a", "form"), "form", "left_anti"))
     among = similar_forms(lone, lone, keys).filter(F.col("errors") < LOOSE).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
     own = weak.join(lone.select("form"), "form", "left_semi").select(entity.alias("a"), node.alias("b"))
-    groups = connected_groups(edges.unionByName(to_group).unionByName(among).unionByName(own), "a", "b")
-    members = groups.filter(F.col("id").startswith("e")).select(F.substring("id", 2, 1_000_000).alias("entity_id"), "group_id")
+    # What comes later only joins groups: the second run is over the groups of the first, not over all links again.
+    later = later.unionByName(to_group).unionByName(among).unionByName(own)
+    for end in ("a", "b"):
+        later = later.join(first.select(F.col("id").alias(end), F.col("group_id").alias("__g")), end, "left").withColumn(end, F.coalesce("__g", end)).drop("__g")
+    second = checkpointed(connected_groups(later, "a", "b")).select(F.col("id").alias("group_id"), F.col("group_id").alias("joined"))
+    known = first.filter(F.col("id").startswith("e")).join(second, "group_id", "left").select("id", F.coalesce("joined", "group_id").alias("group_id"))
+    new = second.filter(F.col("group_id").startswith("e")).join(first.select(F.col("id").alias("group_id")), "group_id", "left_anti").select(F.col("group_id").alias("id"), F.col("joined").alias("group_id"))
+    members = known.unionByName(new).select(F.substring("id", 2, 1_000_000).alias("entity_id"), "group_id")
     several = members.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("least")).filter(F.col("n") > 1)
     return members.join(several, "group_id").select("entity_id", F.col("least").alias("group_id"))
 

@@ -113,3 +113,14 @@ def test_shortened_names(spark):
     companies = [("f1", "Cowelmardon Gas Delivery"), ("f2", "Cowelm. Gas Delivery"), ("g1", "Nova Fodinuphar Precision Optics"), ("g2", "Fodinuphar Nova Optics"), ("h1", "Micro Systems"), ("h2", "Microchip Systems")]
     groups = named(spark, *[(i, n, "person") for i, n in people], *[(i, n, "organization") for i, n in companies])
     assert groups == {frozenset({"a1", "a2", "a3"}), frozenset({"b1", "b2"}), frozenset({"c1", "c2"}), frozenset({"f1", "f2"}), frozenset({"g1", "g2"})}
+
+
+def test_names_outside_every_list(spark):
+    """Pairs of names, each in a scope of its own, that mean the same or don't."""
+    same = [("Zbigniew Nowak", "Zbigneiw Nowak"), ("Mohamed Ali", "Mohammed Ali"), ("Priyanka Sharma", "Priyanak Sharma"), ("Yuki Tanaka", "Tanaka Yuki"), ("Ann Lee Park", "Ann Park"), ("Hiroshi Watanabe", "Watanabe, H."), ("Oluwaseyi Adebayo", "O. Adebayo"), ("Kowalczyk Agnieszka", "Agnieszka Kowalczik"), ("Robert Hokarz.", "Robert Hokarzistede")]
+    apart = [("Carlos Garcia", "Charles Garcia"), ("Marta Silva", "Maria Silva"), ("Sigrid Berg", "Astrid Berg"), ("Zoltan Fekete", "Zoltan Feher")]
+    firms = [("Intel", "Intel Corp."), ("Deutsche Wafer Technik GmbH", "Deutsche Wafertechnik"), ("Nippon Tokki", "Nippon Tokkki")]
+    rows = [(f"{i:02}{side}", f"s{i}", name, "organization" if pair in firms else "person") for i, pair in enumerate(same + apart + firms) for side, name in zip("ab", pair, strict=True)]
+    got = names.link_names(spark.createDataFrame(rows, "entity_id string, scope string, canonical_name string, entity_type string"), spark.createDataFrame([], "entity_id string, alias string"))
+    linked = {r.group_id[:2] for r in got.collect()}
+    assert linked == {f"{i:02}" for i, pair in enumerate(same + apart + firms) if pair not in apart}
