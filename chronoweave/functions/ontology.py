@@ -9,9 +9,28 @@ from pyspark.sql import functions as F
 STRUCTURAL = ("configured_as", "controlled_by", "depends_on", "has_component", "installed_on", "located_in", "monitored_by", "part_of", "regulates")
 CAUSAL = ("affects", "cascades_to", "caused_by", "contributes_to", "correlates_with", "has_symptom", "led_to", "suggests", "symptom_of", "triggers")
 DIAGNOSTIC = (
-    "alternative_to checked confirmed_by contradicts detected_by deviates_from drifts_from feedback_to found investigated_by investigates "
-    "measured_as no_correlation normal observed_by preceded_by references refines_to repaired_by ruled_out supports"
-).split()
+    "alternative_to",
+    "checked",
+    "confirmed_by",
+    "contradicts",
+    "detected_by",
+    "deviates_from",
+    "drifts_from",
+    "feedback_to",
+    "found",
+    "investigated_by",
+    "investigates",
+    "measured_as",
+    "no_correlation",
+    "normal",
+    "observed_by",
+    "preceded_by",
+    "references",
+    "refines_to",
+    "repaired_by",
+    "ruled_out",
+    "supports",
+)
 STATE = ("deal_stage", "has_status")
 OPPOSING = ("ruled_out",)
 RELATIONAL_EXCLUSION = ("contradicts", "no_correlation")

@@ -23,6 +23,7 @@ def revise(facts: DataFrame, names: DataFrame) -> DataFrame:
     likely_false. A pure side has the mean confidence, raised by .05 for each further event that supports it (.15 at
     most), at most .95; a mixed one the balance of the sides, at least .1. ``names``: entity_id, canonical_name.
 
+    Confidences are added as decimals, so that no order of rows can change a sum, and rounded up at ties.
     One aggregation: distinct supporting events come from collecting per group and side what is already distinct per
     fact; nothing is joined back.
     """
@@ -34,7 +35,7 @@ def revise(facts: DataFrame, names: DataFrame) -> DataFrame:
     supporting = ~hypo & ~opposing & (F.col("polarity") == "positive") & status.isin("observed", "confirmed")
     sided = rows.withColumn("side", F.when(hypo, "h").when(opposing, "o").when(supporting, "s")).filter(F.col("side").isNotNull())
     per = sided.groupBy("scope", "about", "side").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("w"), F.min("valid_from").alias("first")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("confidence").cast("decimal(18,9)")).cast("double").alias("w"), F.min("valid_from").alias("first")
     )
     events = sided.filter(F.col("side") != "h").select("scope", "about", "side", F.explode("supports").alias("event")).groupBy("scope", "about", "side").agg(F.countDistinct("event").alias("n_events"))
     joined = per.join(events, ["scope", "about", "side"], "left")
@@ -52,7 +53,7 @@ def revise(facts: DataFrame, names: DataFrame) -> DataFrame:
         "scope",
         F.col("about").alias("about_entity_id"),
         F.when(mixed, "uncertain").when(F.col("o_n") > 0, "likely_false").otherwise("likely_true").alias("stance"),
-        F.round(F.when(mixed, balance).otherwise(pure), 3).alias("confidence"),
+        F.round(F.when(mixed, balance).otherwise(pure) + 1e-9, 3).alias("confidence"),
         F.concat("canonical_name", F.lit(" has "), F.col("s_n").cast("string"), F.lit(" supporting, "), F.col("o_n").cast("string"), F.lit(" opposing, and "), F.col("h_n").cast("string"), F.lit(" hypothesized current assertions")).alias("claim"),
         F.unix_micros("first").alias("valid_from_us"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,9 +12,14 @@ from pyspark.sql import functions as F
 from chronoweave.operators.ordered import MIN_HOT_ROWS, Ordered
 
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """Repeated rows of a key as one: the smallest of each column (rows that differ agree in all but a few)."""
-    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in df.columns if c != key])
+def once(df: DataFrame, key: str, first: tuple[str, ...] = (), latest: tuple[str, ...] = ()) -> DataFrame:
+    """One whole row per key, as it was delivered: the one with the smallest ``first`` or the largest ``latest`` columns,
+    of several such rows the one that is smallest (largest) in the other columns in order. Null is smaller than
+    anything. Rows with a null key are dropped."""
+    rest = [c for c in df.columns if c != key]
+    row = F.struct(*first, *latest, *[c for c in rest if c not in (*first, *latest)])
+    best = df.filter(F.col(key).isNotNull()).groupBy(key).agg((F.max(row) if latest else F.min(row)).alias("__row"))
+    return best.select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
 def literal(value: str = "object_value") -> Column:
@@ -28,7 +34,8 @@ def object_key() -> Column:
 
 def with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Facts with ``subject_name`` (inner) and ``object_text``: the object's name or the literal (left). ``entities`` has
-    one row per entity_id; the join strategy is left to the optimizer."""
+    one row per entity_id; the join strategy is left to the optimizer, and at run time the partitions of an entity that
+    very many facts name are split (adaptive skew join: nothing is aggregated before)."""
     names = entities.select("entity_id", "canonical_name")
     s = names.select(F.col("entity_id").alias("subject_id"), F.col("canonical_name").alias("subject_name"))
     o = names.select(F.col("entity_id").alias("object_entity_id"), F.col("canonical_name").alias("object_name"))
@@ -64,13 +71,14 @@ def belief_log(assertions: DataFrame, keys: list[str]) -> DataFrame:
     The ordered fold behind :func:`supersede`: each assertion, in order of arrival, closes the belief it corrects or
     cuts off, and a cut-off belief is recorded again with its new end. ``rejected`` marks assertions whose explicit end
     isn't after their start or lies beyond the next version; they change nothing. Times are longs.
-    The rows of a key stream through one task; only the key's current versions are held.
+    The rows of a key stream through one task; only the key's current versions are held, their starts in order, so that
+    an assertion finds its neighbours by binary search.
     """
     kinds = dict(assertions.dtypes)
     columns = [*keys, "assertion_id", "valid_from", "valid_to", "recorded_from", "recorded_to", "rejected"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, out = None, {}, []
+        current, held, starts, out = None, {}, [], []
 
         def close() -> None:
             out.extend((*current, v[0], at, v[1], v[2], None, False) for at, v in held.items())
@@ -81,17 +89,20 @@ def belief_log(assertions: DataFrame, keys: list[str]) -> DataFrame:
                 if key != current:
                     if current is not None:
                         close()
-                    current, held = key, {}
-                after = min((s for s in held if s > start), default=None)
+                    current, held, starts = key, {}, []
+                at = bisect_left(starts, start)
+                there = start in held
+                after = starts[at + there] if at + there < len(starts) else None
                 if end is not None and (end <= start or after is not None and end > after):
                     out.append((*key, assertion, start, end, now, now, True))
                     continue
-                if start in held:
+                if there:
                     old = held[start]
                     out.append((*key, old[0], start, old[1], old[2], now, False))
                     end = end if end is not None else old[1]
                 else:
-                    before = max((s for s in held if s < start), default=None)
+                    before = starts[at - 1] if at else None
+                    starts.insert(at, start)
                     if before is not None and (held[before][1] is None or held[before][1] > start):
                         old = held[before]
                         out.append((*key, old[0], before, old[1], old[2], now, False))

@@ -74,7 +74,7 @@ def coverage(rows: DataFrame, keys: list[str], start: str, end: str, min_rows: i
     Periods that touch are one. Null keys form one group. Other columns are ignored, an empty table gives no rows.
 
     Equal starts are combined before the shuffle (the latest end covers the others). Then every key's rows are folded
-    into an :class:`IntervalMap`. A hot key is cut along ``start`` into chunks that are folded apart; the few disjoint
+    into an :class:`IntervalMap`, in order of their starts, so that each insertion is at the end of the map. A hot key is cut along ``start`` into chunks that are folded apart; the few disjoint
     periods that remain of each chunk are joined over the chunk borders by a running maximum of the ends.
     """
     clean = rows.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start))))
@@ -82,10 +82,10 @@ def coverage(rows: DataFrame, keys: list[str], start: str, end: str, min_rows: i
     cut = Ordered(clean, keys, ["__from"], min_rows, chunk_rows)
     schema = lambda cols: ", ".join(f"`{c}` {dict(cut.df.dtypes)[c]}" for c in cols) + ", kind string, from_us long, to_us long"
     plain = cut.df if not cut.chunked else cut.df.filter(F.col(CHUNK) < 0).drop(CHUNK)
-    folded = plain.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(fold_maps(keys, True), schema(keys))
+    folded = plain.repartition(*keys).sortWithinPartitions(*keys, "__from").mapInPandas(fold_maps(keys, True), schema(keys))
     if cut.chunked:
         parts = [*keys, CHUNK]
-        hot = cut.df.filter(F.col(CHUNK) >= 0).repartition(*parts).sortWithinPartitions(*parts).mapInPandas(fold_maps(parts, False), schema(parts))
+        hot = cut.df.filter(F.col(CHUNK) >= 0).repartition(*parts).sortWithinPartitions(*parts, "__from").mapInPandas(fold_maps(parts, False), schema(parts))
         stitched = cut.map_rows(lambda _: hot.drop("kind"), ["from_us"]).max_before("to_us", "__reach")
         stitched = stitched.map_rows(lambda d: d.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col("from_us") > F.col("__reach")), 1).otherwise(0)))
         islands = stitched.running_sum("__new", "__no").df.groupBy(*keys, "__no").agg(F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions.text import fact_text, has_all_words, query_names, trigram_similarity, words
 from chronoweave.functions.vectors import cosine, usable
 from chronoweave.operators.graph import paths
+from chronoweave.session import checkpointed
 
 RRF_K = 60
 
@@ -39,17 +41,24 @@ def vector_channel(facts: DataFrame, entities: DataFrame, query: list[float], k:
 
 
 def bm25(documents: DataFrame, key: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``key``, ``score`` of documents with a word of the query. Document counts and lengths are over all documents;
-    only rows with a query word are exploded."""
-    asked = F.array_distinct(words(F.lit(query)))
-    rows = documents.select(key, words(text).alias("__w"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__w")).alias("mean"))
-    hits = rows.withColumn("q", F.explode(asked)).withColumn("tf", F.size(F.filter("__w", lambda w: w == F.col("q")))).filter(F.col("tf") > 0).select(key, "q", "tf", F.size("__w").alias("len"))
-    df = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "q").crossJoin(F.broadcast(whole))  # as many rows as the query has words, and one
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy(key).agg(F.sum(part).alias("score"))
+    """``key``, ``score`` of documents with a word of the query. Document counts and lengths are over all documents.
+
+    Each text is read for its words once, for its length and the frequencies of the query's words; what is kept of it
+    (as many numbers as the query has words) is written, and totals and scores are made of that.
+    """
+    asked = [r[0] for r in documents.sparkSession.range(1).select(F.explode(F.array_distinct(words(F.lit(query))))).collect()]  # the query's words
+    if not asked:
+        return documents.select(key, F.lit(0.0).alias("score")).limit(0)
+    frequency = lambda q: F.size(F.filter("__w", lambda w: w == F.lit(q)))
+    read = documents.select(key, words(text).alias("__w")).select(key, F.size("__w").alias("len"), *[frequency(q).alias(f"tf{i}") for i, q in enumerate(asked)])
+    read = checkpointed(read)
+    total = read.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))]).first()
+    score, hit = F.lit(0.0), F.lit(False)
+    for i in range(len(asked)):
+        tf, idf = F.col(f"tf{i}"), math.log(1 + (total["n"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (total["mean"] or 1.0)))
+        hit = hit | (tf > 0)
+    return read.filter(hit).select(key, score.alias("score"))
 
 
 def lexical_channel(named: DataFrame, query: str, limit: int = 40) -> DataFrame:
@@ -114,17 +123,20 @@ def salience(facts: DataFrame, events: DataFrame, weight: float = 1.0) -> DataFr
     return links.groupBy("fact_id").agg(F.round(weight * F.max("access_count") / 10, 6).alias("bonus"))
 
 
+#: Words that ask back in time (fixed values).
+BACK = ("last", "previous", "earlier", "before", "yesterday", "history")
+
+
 def question_type(question: Column | str) -> Column:
-    """multi for questions that compare, list or count, or are long; else single."""
-    q = F.lower(question)
-    many = F.rlike(q, F.lit(r"\b(all|both|compare|every|how many|list|which)\b")) | (F.size(F.split(F.trim(q), r"\s+")) > 12)
-    return F.when(many, "multi").otherwise("single")
+    """multi for questions that ask back in time or have at least eight blanks, else single."""
+    asked = F.lower(question)
+    back = reduce(lambda a, b: a | b, (F.contains(asked, F.lit(w)) for w in BACK))
+    return F.when(back | (F.length(asked) - F.length(F.replace(asked, F.lit(" "), F.lit(""))) >= 8), "multi").otherwise("single")
 
 
 def route_limit(query: str) -> int:
-    """Rows of each channel and of the reranker for a question: 160 if it asks back in time or is long, else 40."""
-    back = any(w in query.lower() for w in ("last", "previous", "earlier", "before", "yesterday", "history"))
-    return 160 if back or query.count(" ") >= 8 else 40
+    """Rows of each channel and of the reranker for a question: 160 for a multi question, else 40."""
+    return 160 if any(w in query.lower() for w in BACK) or query.count(" ") >= 8 else 40
 
 
 def overlap_score(text: Column | str, query: str) -> Column:

@@ -15,15 +15,19 @@ THEN, LATER, NOW = "2025-06-01 00:00:00", "2025-09-01 00:00:00", "2026-06-01 00:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(table(spark, sf_dir, "facts"), "fact_id")
+    """Facts, repeated rows once. A row of facts never changes, so repeated rows are equal: they are grouped by all their
+    columns, and what a query asks of any of them is pushed below that into the scan."""
+    return table(spark, sf_dir, "facts").filter(F.col("fact_id").isNotNull()).distinct()
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(table(spark, sf_dir, "entities"), "entity_id")
+    """Entities, each as its last update left it."""
+    return once(table(spark, sf_dir, "entities"), "entity_id", latest=("updated_at",))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(table(spark, sf_dir, "event_log"), "event_id")
+    """Events, each as it was delivered first."""
+    return once(table(spark, sf_dir, "event_log"), "event_id", first=("recorded_at", "wal_offset"))
 
 
 def edges_of(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | None = None) -> DataFrame:
@@ -32,14 +36,10 @@ def edges_of(spark: SparkSession, sf_dir: str, predicates: tuple[str, ...] | Non
     return edges(facts(spark, sf_dir).filter(F.col("recorded_to").isNull()), True, predicates)
 
 
-def sql_once(name: str, key: str, columns: str) -> str:
-    picked = ", ".join(f"min({c}) AS {c}" for c in columns.split())
-    return f"(SELECT {key}, {picked} FROM {name} WHERE {key} IS NOT NULL GROUP BY {key})"
-
-
-FACTS = sql_once("facts", "fact_id", "scope subject_id predicate object_type object_entity_id object_value valid_from valid_to recorded_from recorded_to confidence polarity assertion_status evidence_span supports extracted_at")
-ENTITIES = sql_once("entities", "entity_id", "scope canonical_name entity_type description identity_context context_key embedding merged_into")
-EVENTS = sql_once("event_log", "event_id", "scope modality content context observed_actor observed_at recorded_at idempotency_key excluded_from_recall embed_status access_count case_id methylated_at wal_offset")
+FACTS = "(SELECT DISTINCT * FROM facts WHERE fact_id IS NOT NULL)"
+_ENTITY_ORDER = "updated_at scope canonical_name entity_type description identity_context context_key embedding merged_into merge_confidence created_at"
+ENTITIES = f"(SELECT * FROM entities WHERE entity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _ENTITY_ORDER.split())}) = 1)"
+EVENTS = "(SELECT * FROM event_log WHERE event_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY recorded_at NULLS FIRST, wal_offset NULLS FIRST) = 1)"
 CAUSAL_SQL = "('affects','cascades_to','caused_by','contributes_to','correlates_with','has_symptom','led_to','suggests','symptom_of','triggers')"
 ELIGIBLE_SQL = f"(polarity = 'positive' AND predicate NOT IN ('ruled_out','contradicts','no_correlation') AND CASE WHEN predicate IN {CAUSAL_SQL} THEN assertion_status = 'confirmed' ELSE assertion_status IN ('observed','confirmed') END)"
 EDGES_SQL = f"(SELECT fact_id, subject_id AS src, predicate, object_entity_id AS dst FROM {FACTS} WHERE recorded_to IS NULL AND object_type = 'entity' AND object_entity_id IS NOT NULL AND {ELIGIBLE_SQL})"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.temporal import current, micros
-from chronoweave.functions.text import context_key, identity_tokens, may_be_same
+from chronoweave.functions.text import NARROW, SENSITIVE_TYPES, WIDE, context_key, identity_patterns, identity_tokens, may_be_same
 from chronoweave.functions.vectors import cosine, usable
 from chronoweave.operators import beliefs as belief_ops
 from chronoweave.operators import episodes as episode_ops
@@ -122,7 +122,7 @@ def import_zep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.from_zep(statements, "org:norvane")[0].select("subject_id", "predicate", "object_entity_id", micros("valid_from").alias("valid_from_us"), F.coalesce(micros("valid_to"), F.lit(-1)).alias("valid_to_us"))
 
 
-@registry.add("triple_direct", f"SELECT event_id, json_extract_string(content, '$.triple.subject') AS subject, json_extract_string(content, '$.triple.predicate') AS predicate, coalesce(CAST(json_extract_string(content, '$.triple.confidence') AS DOUBLE), 0.9) AS confidence FROM {EVENTS} WHERE json_extract_string(content, '$.kind') = 'triple' AND subject IS NOT NULL AND predicate IS NOT NULL")
+@registry.add("triple_direct", f"SELECT event_id, json_extract_string(content, '$.triple.subject') AS subject, json_extract_string(content, '$.triple.predicate') AS predicate, coalesce(CAST(json_extract_string(content, '$.triple.confidence') AS DOUBLE), 0.9) AS confidence FROM {EVENTS} WHERE json_extract_string(content, '$.kind') = 'triple' AND json_extract_string(content, '$.triple.subject') IS NOT NULL AND json_extract_string(content, '$.triple.predicate') IS NOT NULL")
 def triple_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.triples(events(spark, sf_dir)).select("event_id", "subject", "predicate", "confidence")
 
@@ -253,13 +253,13 @@ _INPUT = f"""(SELECT *, subject_id AS about, FALSE AS against FROM {FACTS} WHERE
 _BELIEFS = f"""WITH sided AS (SELECT *, CASE WHEN assertion_status = 'hypothesized' AND NOT against THEN 'h' WHEN against OR polarity = 'negative' OR assertion_status IN ('ruled_out', 'rejected') THEN 'o'
         WHEN polarity = 'positive' AND assertion_status IN ('observed', 'confirmed') THEN 's' END AS side FROM {_INPUT}),
     ev AS (SELECT scope, about, side, count(DISTINCT e) AS n FROM (SELECT scope, about, side, unnest(supports) AS e FROM sided WHERE side IS NOT NULL) GROUP BY 1, 2, 3),
-    per AS (SELECT scope, about, side, count(*) AS n, sum(confidence) AS w, min(valid_from) AS first FROM sided WHERE side IS NOT NULL GROUP BY 1, 2, 3),
+    per AS (SELECT scope, about, side, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) AS w, min(valid_from) AS first FROM sided WHERE side IS NOT NULL GROUP BY 1, 2, 3),
     wide AS (SELECT p.scope, p.about, coalesce(max(p.n) FILTER (side = 's'), 0) AS sn, coalesce(max(w) FILTER (side = 's'), 0) AS sw, coalesce(max(p.n) FILTER (side = 'o'), 0) AS os, coalesce(max(w) FILTER (side = 'o'), 0) AS ow,
         coalesce(max(p.n) FILTER (side = 'h'), 0) AS hn, coalesce(max(w) FILTER (side = 'h'), 0) AS hw, coalesce(max(ev.n) FILTER (side = 's'), 0) AS se, coalesce(max(ev.n) FILTER (side = 'o'), 0) AS oe, min(first) AS first
         FROM per p LEFT JOIN ev USING (scope, about, side) GROUP BY 1, 2),
     named AS (SELECT w.*, e.canonical_name, (hn > 0 OR (sn > 0 AND os > 0)) AS mixed FROM wide w JOIN {ENTITIES} e ON e.entity_id = w.about)
     SELECT scope, about AS about_entity_id, CASE WHEN mixed THEN 'uncertain' WHEN os > 0 THEN 'likely_false' ELSE 'likely_true' END AS stance,
-    round(CASE WHEN mixed THEN greatest(0.1, abs(sw - ow) / greatest(0.0001, sw + ow + 0.5 * hw)) WHEN sn > 0 THEN least(0.95, sw / sn + least(0.15, 0.05 * greatest(0, se - 1))) ELSE least(0.95, ow / os + least(0.15, 0.05 * greatest(0, oe - 1))) END, 3) AS confidence,
+    round(CASE WHEN mixed THEN greatest(0.1, abs(sw - ow) / greatest(0.0001, sw + ow + 0.5 * hw)) WHEN sn > 0 THEN least(0.95, sw / sn + least(0.15, 0.05 * greatest(0, se - 1))) ELSE least(0.95, ow / os + least(0.15, 0.05 * greatest(0, oe - 1))) END + 1e-9, 3) AS confidence,
     canonical_name || ' has ' || sn || ' supporting, ' || os || ' opposing, and ' || hn || ' hypothesized current assertions' AS claim, epoch_us(first) AS valid_from_us FROM named"""
 
 
@@ -305,10 +305,10 @@ def synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return belief_ops.topics(_beliefs(spark, sf_dir), facts(spark, sf_dir).filter(current()), entities(spark, sf_dir))
 
 
-@registry.add("coverage", f"SELECT e.entity_type AS topic, count(*) AS n, round(avg(b.confidence), 6) AS mean_confidence FROM ({_BELIEFS}) b JOIN {ENTITIES} e ON e.entity_id = b.about_entity_id GROUP BY 1")
+@registry.add("coverage", f"SELECT e.entity_type AS topic, count(*) AS n, round(CAST(sum(CAST(b.confidence AS DECIMAL(18, 3))) AS DOUBLE) / count(*) + 1e-9, 6) AS mean_confidence FROM ({_BELIEFS}) b JOIN {ENTITIES} e ON e.entity_id = b.about_entity_id GROUP BY 1")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = entities(spark, sf_dir).select(F.col("entity_id").alias("about_entity_id"), F.col("entity_type").alias("topic"))
-    return _beliefs(spark, sf_dir).join(kinds, "about_entity_id").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return _beliefs(spark, sf_dir).join(kinds, "about_entity_id").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("confidence").cast("decimal(18,3)")).cast("double") / F.count(F.lit(1)) + 1e-9, 6).alias("mean_confidence"))
 
 
 # Identity.
@@ -333,23 +333,23 @@ def _asked(key: str):
     return F.conv(F.right(key, F.lit(8)), 16, 10).cast("long") % 100 == 0
 
 
-_VEC = f"(SELECT entity_id, scope, entity_type, CAST(embedding AS DOUBLE[]) AS v FROM {ENTITIES} WHERE merged_into IS NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
+_VEC = f"(SELECT entity_id, scope, entity_type, coalesce(context_key, '{{}}') AS context_key, CAST(embedding AS DOUBLE[]) AS v FROM {ENTITIES} WHERE merged_into IS NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 
 
 @registry.add(
     "entity_knn",
     f"""SELECT a.entity_id, b.entity_id AS candidate_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, row_number() OVER (PARTITION BY a.entity_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.entity_id) AS rank
-    FROM {_VEC} a JOIN {_VEC} b ON a.scope = b.scope AND a.entity_type = b.entity_type AND a.entity_id <> b.entity_id WHERE CAST('0x' || right(a.entity_id, 8) AS BIGINT) % 100 = 0 QUALIFY rank <= 5""",
+    FROM {_VEC} a JOIN {_VEC} b ON a.scope = b.scope AND a.entity_type = b.entity_type AND a.context_key = b.context_key AND a.entity_id <> b.entity_id WHERE CAST('0x' || right(a.entity_id, 8) AS BIGINT) % 100 = 0 QUALIFY rank <= 5""",
 )
 def entity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for linking: the five nearest live entities of equal scope and type. The filter comes before the top-k.
+    """Candidates for linking: the five nearest live entities of equal scope, type and context. The filter comes before the top-k.
 
     Queries are the entities whose id is divisible by 100 (the last eight hexadecimal digits as a number); all entities
     are candidates.
     """
-    rows = entities(spark, sf_dir).filter(F.col("merged_into").isNull() & usable("embedding", 64)).select("entity_id", "scope", "entity_type", "embedding")
-    q = rows.filter(_asked("entity_id")).select("scope", "entity_type", F.col("entity_id").alias("q_id"), F.col("embedding").alias("q"))
-    pairs = rows.join(q, ["scope", "entity_type"]).filter(F.col("entity_id") != F.col("q_id")).withColumn("similarity", F.round(cosine("q", "embedding"), 6))
+    rows = entities(spark, sf_dir).filter(F.col("merged_into").isNull() & usable("embedding", 64)).select("entity_id", "scope", "entity_type", F.coalesce("context_key", F.lit("{}")).alias("context_key"), "embedding")
+    q = rows.filter(_asked("entity_id")).select("scope", "entity_type", "context_key", F.col("entity_id").alias("q_id"), F.col("embedding").alias("q"))
+    pairs = rows.join(q, ["scope", "entity_type", "context_key"]).filter(F.col("entity_id") != F.col("q_id")).withColumn("similarity", F.round(cosine("q", "embedding"), 6))
     w = Window.partitionBy("q_id").orderBy(F.desc("similarity"), "entity_id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5).select(F.col("q_id").alias("entity_id"), F.col("entity_id").alias("candidate_id"), "similarity", "rank")
 
@@ -357,13 +357,13 @@ def entity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(
     "entity_link_branch",
     f"""SELECT entity_id, CASE WHEN s >= 0.85 THEN 'reuse' WHEN s >= 0.3 THEN 'ask' ELSE 'new' END AS branch FROM (SELECT a.entity_id, max(round(list_cosine_similarity(a.v, b.v), 6)) AS s
-    FROM {_VEC} a LEFT JOIN {_VEC} b ON a.scope = b.scope AND a.entity_type = b.entity_type AND a.entity_id <> b.entity_id WHERE CAST('0x' || right(a.entity_id, 8) AS BIGINT) % 100 = 0 GROUP BY 1)""",
+    FROM {_VEC} a LEFT JOIN {_VEC} b ON a.scope = b.scope AND a.entity_type = b.entity_type AND a.context_key = b.context_key AND a.entity_id <> b.entity_id WHERE CAST('0x' || right(a.entity_id, 8) AS BIGINT) % 100 = 0 GROUP BY 1)""",
 )
 def entity_link_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What linking does with each queried entity: reuse a candidate, ask, or keep it as new."""
-    rows = entities(spark, sf_dir).filter(F.col("merged_into").isNull() & usable("embedding", 64)).select("entity_id", "scope", "entity_type", "embedding")
-    q = rows.filter(_asked("entity_id")).select("scope", "entity_type", F.col("entity_id").alias("q_id"), F.col("embedding").alias("q"))
-    best = q.join(rows, ["scope", "entity_type"]).filter(F.col("entity_id") != F.col("q_id")).groupBy("q_id").agg(F.max(F.round(cosine("q", "embedding"), 6)).alias("s"))
+    rows = entities(spark, sf_dir).filter(F.col("merged_into").isNull() & usable("embedding", 64)).select("entity_id", "scope", "entity_type", F.coalesce("context_key", F.lit("{}")).alias("context_key"), "embedding")
+    q = rows.filter(_asked("entity_id")).select("scope", "entity_type", "context_key", F.col("entity_id").alias("q_id"), F.col("embedding").alias("q"))
+    best = q.join(rows, ["scope", "entity_type", "context_key"]).filter(F.col("entity_id") != F.col("q_id")).groupBy("q_id").agg(F.max(F.round(cosine("q", "embedding"), 6)).alias("s"))
     out = q.select("q_id").join(best, "q_id", "left")
     return out.select(F.col("q_id").alias("entity_id"), F.when(F.col("s") >= 0.85, "reuse").when(F.col("s") >= 0.3, "ask").otherwise("new").alias("branch"))
 
@@ -374,16 +374,22 @@ def context_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("entity_id", context_key("identity_context", "entity_type").alias("key"))
 
 
-_TOK = r"list_sort(list_distinct(list_concat(regexp_extract_all(lower({0}), '([a-z]+(?:[-_][a-z]+)*[-_]?\d+(?:\.\d+)?[a-z%°μ]*)', 1), regexp_extract_all(lower({0}), '(\d+(?:\.\d+)?\s*(?:kw|w|v|a|ma|pa|torr|mtorr|sccm|slm|°?c|nm|um|μm|%|hz|khz|mhz))', 1))))"
+def _tok(column: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    low = f"lower(replace(translate({column}, {quoted(WIDE)}, {quoted(NARROW)}), '\u2103', '°c'))"
+    return "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all({low}, '({p})', 1)" for p in identity_patterns()) + ")))"
 
 
-@registry.add("identity_tokens", f"SELECT entity_id, array_to_string({_TOK.format('canonical_name')}, '|') AS tokens FROM {ENTITIES} WHERE entity_type IN ('sensor', 'recipe', 'component')")
+_SENSITIVE = ", ".join(f"'{t}'" for t in SENSITIVE_TYPES)
+
+
+@registry.add("identity_tokens", f"SELECT entity_id, array_to_string({_tok('canonical_name')}, '|') AS tokens FROM {ENTITIES} WHERE lower(trim(entity_type)) IN ({_SENSITIVE})")
 def identity_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entities(spark, sf_dir).filter(F.col("entity_type").isin("sensor", "recipe", "component"))
+    rows = entities(spark, sf_dir).filter(F.lower(F.trim("entity_type")).isin(*SENSITIVE_TYPES))
     return rows.select("entity_id", F.array_join(identity_tokens("canonical_name"), "|").alias("tokens"))
 
 
-@registry.add("alias_compatible", f"SELECT DISTINCT a.entity_id, a.alias, (coalesce(lower(trim(e.entity_type)), '') NOT IN ('component','controller','measurement','metrology_result','process_param','recipe','recipe_revision','sensor') OR {_TOK.format('e.canonical_name')} = {_TOK.format('a.alias')}) AS compatible FROM entity_aliases a JOIN {ENTITIES} e USING (entity_id)")
+@registry.add("alias_compatible", f"SELECT DISTINCT a.entity_id, a.alias, (coalesce(lower(trim(e.entity_type)), '') NOT IN ('component','controller','measurement','metrology_result','process_param','recipe','recipe_revision','sensor') OR {_tok('e.canonical_name')} = {_tok('a.alias')}) AS compatible FROM entity_aliases a JOIN {ENTITIES} e USING (entity_id)")
 def alias_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an alias may mean its entity: sensitive types need equal identity tokens."""
     rows = table(spark, sf_dir, "entity_aliases").select("entity_id", "alias").distinct().join(entities(spark, sf_dir).select("entity_id", "canonical_name", "entity_type"), "entity_id")

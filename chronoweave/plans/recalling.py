@@ -13,7 +13,9 @@ from chronoweave.operators import governance as gov
 from chronoweave.operators import identity, tables
 from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
+from chronoweave.operators.history import SINGLE_VALUED
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
+from chronoweave.plans.problems import PERIOD_PREDICATES
 from chronoweave.plans.registry import Registry
 from chronoweave.session import checkpointed, shared_folder, table
 from chronoweave.sources.ingest import chunk_envelopes, pack_stream
@@ -205,9 +207,12 @@ def salience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.salience(facts(spark, sf_dir), events(spark, sf_dir))
 
 
-@registry.add("question_route", r"SELECT doc_id, CASE WHEN regexp_matches(lower(title), '\b(all|both|compare|every|how many|list|which)\b') OR len(regexp_split_to_array(trim(title), '\s+')) > 12 THEN 'multi' ELSE 'single' END AS kind FROM documents WHERE title IS NOT NULL")
+_BACK = " OR ".join(f"contains(lower(text), '{w}')" for w in ("last", "previous", "earlier", "before", "yesterday", "history"))
+
+
+@registry.add("question_route", f"SELECT doc_id, CASE WHEN {_BACK} OR length(text) - length(replace(text, ' ', '')) >= 8 THEN 'multi' ELSE 'single' END AS kind FROM documents WHERE text IS NOT NULL")
 def question_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("title").isNotNull()).select("doc_id", ret.question_type("title").alias("kind"))
+    return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", ret.question_type("text").alias("kind"))
 
 
 def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,14 +429,16 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pipelines.event_stream(spark, sf_dir, name)
 
 
-def _collected(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    run = uuid.uuid4().hex
-    return pipelines.run_once(stream, mode, f"{name}_{run}", f"{shared_folder(stream.sparkSession)}/stream-{run}")
+_KEYS = ["subject_id", "predicate"]
+
+
+def _collected(stream: DataFrame, mode: str) -> DataFrame:
+    return pipelines.run_once(stream, mode, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}")
 
 
 @registry.add("stream_dedup", "SELECT DISTINCT event_id FROM event_log WHERE event_id IS NOT NULL")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _collected(pipelines.deduplicated(_stream(spark, sf_dir, "event_log"), "3650 days").select("event_id"), "append", "dedup")
+    return _collected(pipelines.deduplicated(_stream(spark, sf_dir, "event_log"), "3650 days").select("event_id"), "append").select("event_id")
 
 
 _STREAM_SESSIONS = """WITH live AS (SELECT scope, epoch_us(observed_at) AS us FROM event_log WHERE NOT coalesce(excluded_from_recall, FALSE) AND observed_at IS NOT NULL),
@@ -442,40 +449,42 @@ _STREAM_SESSIONS = """WITH live AS (SELECT scope, epoch_us(observed_at) AS us FR
 @registry.add("stream_sessions", _STREAM_SESSIONS)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of deliveries as session windows of a stream, all of them at the end (complete mode)."""
-    return _collected(pipelines.session_stream(_stream(spark, sf_dir, "event_log")), "complete", "sessions")
+    return _collected(pipelines.session_stream(_stream(spark, sf_dir, "event_log")), "complete").drop("batch")
 
 
-_IN = "predicate = 'assigned_to' AND recorded_to IS NULL AND valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)"
+_IN = f"predicate IN ({', '.join(repr(x) for x in PERIOD_PREDICATES)}) AND recorded_to IS NULL AND valid_from IS NOT NULL AND (valid_to IS NULL OR valid_to > valid_from)"
 
 
 @registry.add(
     "stream_intervals",
-    f"""WITH r AS (SELECT DISTINCT subject_id, epoch_us(valid_from) AS f, coalesce(epoch_us(valid_to), 9223372036854775807) AS t FROM facts WHERE {_IN}),
-    x AS (SELECT *, max(t) OVER (PARTITION BY subject_id ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
-    n AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS no FROM x)
-    SELECT subject_id, min(f) AS from_us, max(t) AS to_us FROM n GROUP BY subject_id, no""",
+    f"""WITH r AS (SELECT DISTINCT subject_id, predicate, epoch_us(valid_from) AS f, coalesce(epoch_us(valid_to), 9223372036854775807) AS t FROM facts WHERE {_IN}),
+    x AS (SELECT *, max(t) OVER (PARTITION BY subject_id, predicate ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+    n AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, predicate ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS no FROM x)
+    SELECT subject_id, predicate, min(f) AS from_us, max(t) AS to_us FROM n GROUP BY subject_id, predicate, no""",
 )
 def stream_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of the keyed interval maps: the periods of each subject."""
-    rows = _stream(spark, sf_dir, "facts").filter((F.col("predicate") == "assigned_to") & F.col("recorded_to").isNull() & F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
-    merged = pipelines.interval_stream(rows.select("subject_id", micros("valid_from").alias("from_us"), micros("valid_to").alias("to_us")), ["subject_id"])
-    last = _collected(merged, "update", "intervals").groupBy("subject_id").agg(F.max_by(F.arrays_zip("starts", "ends"), "n_rows").alias("p"))
-    return last.select("subject_id", F.explode("p").alias("p")).select("subject_id", F.col("p.starts").alias("from_us"), F.col("p.ends").alias("to_us"))
+    """The last state of the keyed interval maps: the periods of each subject and predicate."""
+    rows = _stream(spark, sf_dir, "facts").filter(F.col("predicate").isin(*PERIOD_PREDICATES) & F.col("recorded_to").isNull() & F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
+    merged = pipelines.interval_stream(rows.select(*_KEYS, micros("valid_from").alias("from_us"), micros("valid_to").alias("to_us")), _KEYS)
+    last = _collected(merged, "update").groupBy(*_KEYS).agg(F.max_by(F.arrays_zip("starts", "ends"), "n_rows").alias("p"))
+    return last.select(*_KEYS, F.explode("p").alias("p")).select(*_KEYS, F.col("p.starts").alias("from_us"), F.col("p.ends").alias("to_us"))
 
 
-_KEYS = ["subject_id", "predicate"]
+_SINGLE = ", ".join(repr(x) for x in SINGLE_VALUED)
 
 
 @registry.add(
     "stream_supersede",
-    f"SELECT subject_id, predicate, epoch_us(valid_from) AS from_us, arg_max(fact_id, (recorded_from, fact_id)) AS assertion_id FROM {FACTS} WHERE predicate = 'has_status' AND recorded_to IS NULL AND polarity = 'positive' AND valid_from IS NOT NULL GROUP BY 1, 2, 3",
+    f"""WITH a AS (SELECT subject_id, predicate, epoch_us(valid_from) AS f, arg_max(fact_id, (recorded_from, fact_id)) AS assertion_id, arg_max(epoch_us(valid_to), (recorded_from, fact_id)) FILTER (valid_to IS NOT NULL) AS e
+    FROM {FACTS} WHERE predicate IN ({_SINGLE}) AND recorded_to IS NULL AND polarity = 'positive' AND valid_from IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT subject_id, predicate, f AS from_us, coalesce(least(e, lead(f) OVER (PARTITION BY subject_id, predicate ORDER BY f)), -1) AS to_us, assertion_id FROM a""",
 )
 def stream_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assertions that hold, from keyed state, whatever the order of arrival."""
-    rows = _stream(spark, sf_dir, "facts").filter((F.col("predicate") == "has_status") & F.col("recorded_to").isNull() & (F.col("polarity") == "positive"))
-    rows = rows.select(*_KEYS, micros("valid_from").alias("valid_from"), micros("recorded_from").alias("recorded_from"), F.col("fact_id").alias("assertion_id"))
-    held = _collected(pipelines.supersession_stream(rows, _KEYS), "update", "supersede").groupBy(*_KEYS).agg(F.max_by(F.arrays_zip("starts", "assertion_ids"), F.size("starts")).alias("v"))
-    return held.select(*_KEYS, F.explode("v").alias("v")).select(*_KEYS, F.col("v.starts").alias("from_us"), F.col("v.assertion_ids").alias("assertion_id"))
+    """The versions that hold, from keyed state, whatever the order of arrival."""
+    rows = _stream(spark, sf_dir, "facts").filter(F.col("predicate").isin(*SINGLE_VALUED) & F.col("recorded_to").isNull() & (F.col("polarity") == "positive"))
+    rows = rows.select(*_KEYS, *[micros(c).alias(c) for c in ("valid_from", "valid_to", "recorded_from")], F.col("fact_id").alias("assertion_id"))
+    held = _collected(pipelines.supersession_stream(rows, _KEYS), "update").groupBy(*_KEYS).agg(F.max_by(F.arrays_zip("starts", "ends", "assertion_ids"), "version").alias("v"))
+    return held.select(*_KEYS, F.explode("v").alias("v")).select(*_KEYS, F.col("v.starts").alias("from_us"), F.coalesce("v.ends", F.lit(-1)).alias("to_us"), F.col("v.assertion_ids").alias("assertion_id"))
 
 
 # Analytics on the stream table, with what Spark has built in.

@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from chronoweave.operators.intervals import OPEN, IntervalMap
 from chronoweave.session import table
@@ -18,11 +19,23 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_trigg
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Everything that is there now, through a memory sink: for tests and small results only."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Everything that is there now, written to ``folder`` (shared by all executors) and read back, with the number of the
+    micro-batch as ``batch``; in complete mode only the last one. A batch that is repeated overwrites itself."""
+    target = f"{folder}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if query.lastProgress is None and query.recentProgress == []:
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+    out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", target).parquet(f"{target}/*")
+    if mode == "complete":
+        out = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out
 
 
 def deduplicated(events: DataFrame, late: str = "7 days") -> DataFrame:
@@ -65,25 +78,37 @@ def interval_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def supersession_stream(assertions: DataFrame, keys: list[str]) -> DataFrame:
-    """Current versions per key after each micro-batch (update mode), late arrivals included.
+    """Current versions per key after each micro-batch (update mode), late arrivals included: ``version`` (one more with
+    each change of the key), ``starts``, ``ends`` (null: open) and ``assertion_ids``.
 
-    ``assertions``: keys, ``valid_from`` (long), ``recorded_from`` (long), ``assertion_id`` string. State holds, per
-    valid_from, the last recorded assertion; ends follow from the next start.
+    ``assertions``: keys, ``valid_from``, ``valid_to``, ``recorded_from`` (longs), ``assertion_id`` string. As in the closed
+    form, of equal starts the last recorded assertion holds, with the last explicit end; a version ends there or at the
+    next start, whichever is first. State holds that much per start.
     """
     kinds = dict(assertions.dtypes)
+    never = (-(2**63), "")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        held = {s: (r, a) for s, r, a in zip(*state.get, strict=True)} if state.exists else {}
+        version, *lists = state.get if state.exists else (0, (), (), (), (), (), ())
+        held = {s: [(r, a), (er, ea), e] for s, r, a, er, ea, e in zip(*lists, strict=True)}
         for batch in batches:
-            for start, recorded, assertion in zip(batch["valid_from"], batch["recorded_from"], batch["assertion_id"], strict=True):
-                held[int(start)] = max(held.get(int(start), (-(2**63), "")), (int(recorded), assertion))
+            for start, end, recorded, assertion in zip(batch["valid_from"], batch["valid_to"], batch["recorded_from"], batch["assertion_id"], strict=True):
+                row = held.setdefault(int(start), [never, never, OPEN])
+                at = (int(recorded), assertion)
+                row[0] = max(row[0], at)
+                if int(end) != OPEN and at >= row[1]:
+                    row[1], row[2] = at, int(end)
         starts = sorted(held)
-        state.update((starts, [held[s][0] for s in starts], [held[s][1] for s in starts]))
-        yield pd.DataFrame([(*key, starts, [held[s][1] for s in starts])], columns=[*keys, "starts", "assertion_ids"])
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", starts array<long>, assertion_ids array<string>"
-    rows = assertions.filter(F.col("valid_from").isNotNull()).select(*keys, "valid_from", "recorded_from", "assertion_id")
-    return rows.groupBy(*keys).applyInPandasWithState(step, schema, "starts array<long>, recorded array<long>, ids array<string>", "update", "NoTimeout")
+        rows = [held[s] for s in starts]
+        state.update((version + 1, starts, [r[0][0] for r in rows], [r[0][1] for r in rows], [r[1][0] for r in rows], [r[1][1] for r in rows], [r[2] for r in rows]))
+        ends = [min(r[2], after) for r, after in zip(rows, [*starts[1:], OPEN], strict=True)]
+        yield pd.DataFrame([(*key, version + 1, starts, ends, [r[0][1] for r in rows])], columns=[*keys, "version", "starts", "ends", "assertion_ids"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", version long, starts array<long>, ends array<long>, assertion_ids array<string>"
+    kept = "version long, starts array<long>, recorded array<long>, ids array<string>, e_recorded array<long>, e_ids array<string>, explicit array<long>"
+    rows = assertions.filter(F.col("valid_from").isNotNull()).select(*keys, "valid_from", F.coalesce("valid_to", F.lit(OPEN)).alias("valid_to"), "recorded_from", "assertion_id")
+    out = rows.groupBy(*keys).applyInPandasWithState(step, schema, kept, "update", "NoTimeout")
+    return out.withColumn("ends", F.transform("ends", lambda e: F.when(e != OPEN, e)))
 
 
 def derive_layers(spark: SparkSession, events: DataFrame, derive: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):

@@ -1,6 +1,7 @@
 """Ingestion, identity, graph, beliefs, episodes, retrieval and maintenance on small worlds."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -256,9 +257,9 @@ def test_streams_equal_batch(spark, tmp_path):
     log.limit(3).coalesce(1).write.parquet(path)
     log.coalesce(1).write.mode("append").parquet(path)
     stream = lambda: pipelines.read_stream(spark, path, log)
-    once = pipelines.run_once(pipelines.deduplicated(stream()).select("event_id"), "append", "t_dedup", str(tmp_path / "a"))
+    once = pipelines.run_once(pipelines.deduplicated(stream()).select("event_id"), "append", str(tmp_path / "a"))
     assert sorted(r.event_id for r in once.collect()) == ["e1", "e2", "e3", "e4", "e5"]
-    got = pipelines.run_once(pipelines.session_stream(stream()), "complete", "t_sessions", str(tmp_path / "b"))
+    got = pipelines.run_once(pipelines.session_stream(stream()), "complete", str(tmp_path / "b")).drop("batch")
     live = spark.read.parquet(path).filter("NOT coalesce(excluded_from_recall, false)")
     assert rows_of(got) == rows_of(sessions(live, ["scope"]).select("scope", "start_us", "end_us", "n_events")) and got.count() == 2
     seen = []
@@ -267,6 +268,48 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sum(n for _, n in seen) == 8 and len(seen) >= 2
 
 
+def test_supersession_stream_over_several_files(spark, tmp_path):
+    """Corrections, late arrivals and explicit ends in files of their own: the last version equals the closed form."""
+    from chronoweave.operators.facts import supersede
+
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        start = rng.randrange(8)
+        rows.append(("s", rng.choice("pq"), start, start + rng.randrange(1, 6) if rng.random() < 0.3 else None, i, f"a{i:02}"))
+    rng.shuffle(rows)
+    schema = "subject string, predicate string, valid_from long, valid_to long, recorded_from long, assertion_id string"
+    for n in range(0, 60, 15):
+        spark.createDataFrame(rows[n : n + 15], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    every, keys = spark.read.parquet(str(tmp_path / "in")), ["subject", "predicate"]
+    out = pipelines.run_once(pipelines.supersession_stream(pipelines.read_stream(spark, str(tmp_path / "in"), every), keys), "update", str(tmp_path / "out"))
+    assert out.select("batch").distinct().count() == 4
+    last = out.groupBy(*keys).agg(F.max_by(F.arrays_zip("starts", "ends", "assertion_ids"), "version").alias("v"))
+    want = supersede(every.withColumn("value", F.lit("x")), keys).select(*keys, "valid_from", "valid_to", "assertion_id")
+    assert rows_of(last.select(*keys, F.explode("v").alias("v")).select(*keys, "v.*")) == rows_of(want)
+
+
+def test_belief_log_grows_in_proportion(spark):
+    """Thirty thousand versions of one key in one task; the last belief is that of the closed form."""
+    import time
+
+    from chronoweave.operators.facts import belief_log
+
+    rows = [("k", f"a{i:05}", (i * 7919) % 30011, None, i) for i in range(30000)]
+    df = spark.createDataFrame(rows, "k string, assertion_id string, valid_from long, valid_to long, recorded_from long")
+    began = time.monotonic()
+    assert belief_log(df, ["k"]).filter("recorded_to IS NULL AND NOT rejected").count() == 30000
+    assert time.monotonic() - began < 30
+
+
+def test_once_takes_a_whole_row(spark):
+    from chronoweave.operators.facts import once
+
+    rows = [("a", "x", None, 1), ("a", None, "m", 2), ("b", "z", None, None), ("b", "y", None, None), (None, "n", None, 9)]
+    df = spark.createDataFrame(rows, "id string, name string, merged string, at long")
+    assert rows_of(once(df, "id", latest=("at",))) == {("a", None, "m", 2), ("b", "z", None, None)}
+    assert rows_of(once(df, "id", first=("at",))) == {("a", "x", None, 1), ("b", "y", None, None)}
+
+
 def test_entry_without_optional_part():
     import __spark_entry__ as entry
 
