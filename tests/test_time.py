@@ -101,19 +101,43 @@ def test_history_in_chunks_equals_plain(spark):
     assert history_of(spark, rows) == history_of(spark, rows, min_rows=20, chunk_rows=25)
 
 
-def test_satellites_are_append_only(spark, tmp_path):
+def test_satellites_are_split_by_change_rate(spark):
     vocabulary = spark.createDataFrame(VOCABULARY, "name string, kind string, canonical_value string, aliases array<string>")
     rows = [fact(i, f"s{i % 3}", "idle" if i % 2 else "running", T0 + i * DAY) for i in range(30)] + [fact(100, "s0", "team a", T0, predicate="owning_team")]
-    load = lambda r: history.fact_satellites(spark.createDataFrame(r, FACT), vocabulary).result()
-    rates = history.change_rates(load(rows), "subject_id", "predicate")
-    assert {(r.predicate, r.satellite) for r in rates.collect()} == {("has_status", "fast"), ("owning_team", "slow")}
-    path = str(tmp_path / "satellites")
-    for _ in range(2):  # the second load finds everything there
-        history.write_satellites(load(rows), rates, "predicate", path)
-    first = spark.read.parquet(path)
-    assert first.count() == load(rows).count()
-    history.write_satellites(load([*rows, fact(200, "s0", "idle", T0 + 99 * DAY)]), rates, "predicate", path)
-    assert spark.read.parquet(path).count() == load([*rows, fact(200, "s0", "idle", T0 + 99 * DAY)]).count()
+    loads = history.fact_satellites(spark.createDataFrame(rows, FACT), vocabulary)
+    assert {name: {r.predicate for r in load.select("predicate").distinct().collect()} for name, load in loads.items()} == {"fast": {"has_status"}, "slow": {"owning_team"}}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stored_satellites_equal_the_history_whatever_the_order_of_arrival(spark, tmp_path, seed):
+    """Late, corrected and withdrawn assertions in several loads, complete or not; each load is written twice."""
+    rng = random.Random(seed)
+    vocabulary = spark.createDataFrame(VOCABULARY, "name string, kind string, canonical_value string, aliases array<string>")
+    rows = [fact(i, f"s{i % 4}", rng.choice(["idle", "wait", "x"]), T0 + rng.randrange(12) * DAY, rng.choice([None, None, T0 + rng.randrange(14) * DAY]), T0 + timedelta(minutes=rng.randrange(5000))) for i in range(60)]
+    rng.shuffle(rows)
+    folder, arrived, truth = str(tmp_path / "satellite"), [], []
+    for number, n in enumerate((20, 20, 20)):
+        arrived += rows[number * n : (number + 1) * n]
+        if number == 2:
+            arrived = arrived[7:]  # some are withdrawn
+        held = history.fact_rows(spark.createDataFrame(arrived, FACT), vocabulary)
+        for _ in range(2):
+            history.write_satellite(history.loaded(held, number), history.KEYS, folder, complete=number == 2)
+        truth.append(rows_of(history.fact_history(spark.createDataFrame(arrived, FACT), vocabulary)))
+    stored = spark.read.parquet(folder)
+    assert stored.groupBy(*history.KEYS, "from_us", "load").count().filter("count > 1").count() == 0
+    for number, want in enumerate(truth):
+        view = history.versions(history.current(stored, history.KEYS, number), history.KEYS)
+        assert rows_of(view.select("subject_id", "predicate", "from_us", "to_us", "value")) == want
+
+
+def test_a_correction_replaces_what_was_loaded(spark):
+    """{1: A, 5: B}, then {1: C, 3: B, 5: B}: C holds until 3, B from there on; the first state can still be seen."""
+    rows = lambda told, n: history.loaded(spark.createDataFrame([("s", "p", at, v, None) for at, v in told], "subject_id string, predicate string, from_us long, value string, stop_us long"), n)
+    first = rows([(1, "A"), (5, "B")], 0)
+    both = first.unionByName(history.appended(first, rows([(1, "C"), (3, "B"), (5, "B")], 1), history.KEYS))
+    seen = lambda n: {(r.from_us, r.to_us, r.value) for r in history.versions(history.current(both, history.KEYS, n), history.KEYS).collect()}
+    assert both.count() == 4 and seen(0) == {(1, 5, "A"), (5, -1, "B")} and seen(1) == {(1, 3, "C"), (3, -1, "B")}
 
 
 def brute_sessions(rows, gap):
