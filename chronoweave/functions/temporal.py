@@ -59,6 +59,21 @@ def overlaps(axis: str, start: str | datetime, end: str | datetime) -> Column:
     return (F.col(f"{axis}_from") <= _at(end)) & (F.col(f"{axis}_to").isNull() | (F.col(f"{axis}_to") >= _at(start)))
 
 
+def seen(as_of_time: str | datetime | None = None, include_superseded: bool = False, valid_during: tuple | None = None, recorded_during: tuple | None = None) -> Column:
+    """What a recall may find: true and believed now; with a time what was true then (:func:`as_of`); superseded beliefs too
+    if asked for. Both kinds of windows narrow it further. One predicate for all channels, applied before their limits."""
+    if as_of_time is not None:
+        out = as_of(as_of_time, include_superseded)
+    else:
+        windows = valid_during is not None or recorded_during is not None
+        out = (F.lit(True) if windows else still_valid()) if include_superseded else (F.col("recorded_to").isNull() if windows else current())
+    if valid_during is not None:
+        out = out & overlaps("valid", *valid_during)
+    if recorded_during is not None:
+        out = out & overlaps("recorded", *recorded_during)
+    return out
+
+
 def parse_duration(text: str) -> timedelta:
     """An ISO-8601 duration with an optional sign; a month has 30 days, a year 365."""
     whole = re.fullmatch(r"\s*(-?)P((?:\d+[YMWD])*)(?:T((?:\d+[HMS])+))?\s*", text)

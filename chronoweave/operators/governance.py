@@ -16,6 +16,31 @@ def forget(facts: DataFrame, selector: Column, at: str | datetime) -> DataFrame:
     return facts.withColumn("recorded_to", F.coalesce("recorded_to", F.when(selector, F.lit(at).cast("timestamp"))))
 
 
+def forget_scope(facts: DataFrame, beliefs: DataFrame, events: DataFrame, scope: str, at: str | datetime, predicate: str | None = None, about: str | None = None, confirm_all: bool = False, redact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, beliefs, events) after forgetting in a scope, by predicate or subject (``about``); all of it only if confirmed.
+
+    The belief in the selected facts ends at ``at``; beliefs (with ``recorded_to``) end only if ``about`` is given. With
+    ``redact`` the events of the scope behind any of its facts that are no longer believed are emptied and excluded.
+    """
+    if predicate is None and about is None and not confirm_all:
+        raise ValueError("to forget a whole scope must be confirmed")
+    chosen = F.col("scope") == scope
+    if predicate is not None:
+        chosen = chosen & (F.col("predicate") == predicate)
+    if about is not None:
+        chosen = chosen & (F.col("subject_id") == about)
+    after = forget(facts, chosen, at)
+    if about is not None:
+        ended = (F.col("scope") == scope) & (F.col("about_entity_id") == about)
+        beliefs = beliefs.withColumn("recorded_to", F.coalesce("recorded_to", F.when(ended, F.lit(at).cast("timestamp"))))
+    if redact:
+        behind = support_links(after.filter((F.col("scope") == scope) & F.col("recorded_to").isNotNull())).select("scope", "event_id").distinct().withColumn("__red", F.lit(True))
+        red = F.col("__red").isNotNull()
+        marked = events.join(behind, ["scope", "event_id"], "left")
+        events = marked.withColumn("content", F.when(red, "{}").otherwise(F.col("content"))).withColumn("excluded_from_recall", red | F.coalesce("excluded_from_recall", F.lit(False))).drop("__red").select(*events.columns)
+    return after, beliefs, events
+
+
 def support_links(facts: DataFrame) -> DataFrame:
     """``fact_id``, ``scope``, ``event_id``: each supporting event once per fact."""
     return facts.select("fact_id", "scope", F.explode(F.array_distinct("supports")).alias("event_id"))

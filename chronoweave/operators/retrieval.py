@@ -169,16 +169,6 @@ def within_budget(items: DataFrame, order: list[str], tokens: str, budget: int,
     return summed.filter((F.col("rank") == 1) | (F.col("used") <= budget))
 
 
-def context_block(pack: DataFrame, most: int = 6) -> DataFrame:
-    """One row: the first facts of a pack as numbered text, and the citations."""
-    few = pack.filter(F.col("rank") <= most)
-    text = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), fact_text())
-    return few.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), "; ").alias("context_block"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact_id"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("]="), x["fact_id"])), ",").alias("citations"),
-    )
-
-
 def recall(
     facts: DataFrame,
     entities: DataFrame,

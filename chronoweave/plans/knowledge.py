@@ -248,10 +248,18 @@ def entities_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Beliefs.
 
-_INPUT = f"""(SELECT *, subject_id AS about, FALSE AS against FROM {FACTS} WHERE recorded_to IS NULL AND valid_to IS NULL AND predicate NOT IN ('contradicts', 'no_correlation')
-    UNION ALL SELECT *, object_entity_id, TRUE FROM {FACTS} WHERE recorded_to IS NULL AND valid_to IS NULL AND predicate = 'contradicts' AND object_entity_id IS NOT NULL)"""
-_BELIEFS = f"""WITH sided AS (SELECT *, CASE WHEN assertion_status = 'hypothesized' AND NOT against THEN 'h' WHEN against OR polarity = 'negative' OR assertion_status IN ('ruled_out', 'rejected') THEN 'o'
-        WHEN polarity = 'positive' AND assertion_status IN ('observed', 'confirmed') THEN 's' END AS side FROM {_INPUT}),
+CURRENT_SQL = "recorded_to IS NULL AND valid_to IS NULL"
+
+
+def input_sql(seen: str = CURRENT_SQL) -> str:
+    """Statements that bear on an entity, of the facts that are seen."""
+    return f"""(SELECT *, subject_id AS about, FALSE AS against FROM {FACTS} WHERE {seen} AND predicate NOT IN ('contradicts', 'no_correlation')
+    UNION ALL SELECT *, object_entity_id, TRUE FROM {FACTS} WHERE {seen} AND predicate = 'contradicts' AND object_entity_id IS NOT NULL)"""
+
+
+def beliefs_sql(seen: str = CURRENT_SQL) -> str:
+    return f"""WITH sided AS (SELECT *, CASE WHEN assertion_status = 'hypothesized' AND NOT against THEN 'h' WHEN against OR polarity = 'negative' OR assertion_status IN ('ruled_out', 'rejected') THEN 'o'
+        WHEN polarity = 'positive' AND assertion_status IN ('observed', 'confirmed') THEN 's' END AS side FROM {input_sql(seen)}),
     ev AS (SELECT scope, about, side, count(DISTINCT e) AS n FROM (SELECT scope, about, side, unnest(supports) AS e FROM sided WHERE side IS NOT NULL) GROUP BY 1, 2, 3),
     per AS (SELECT scope, about, side, count(*) AS n, CAST(sum(CAST(confidence AS DECIMAL(18, 9))) AS DOUBLE) AS w, min(valid_from) AS first FROM sided WHERE side IS NOT NULL GROUP BY 1, 2, 3),
     wide AS (SELECT p.scope, p.about, coalesce(max(p.n) FILTER (side = 's'), 0) AS sn, coalesce(max(w) FILTER (side = 's'), 0) AS sw, coalesce(max(p.n) FILTER (side = 'o'), 0) AS os, coalesce(max(w) FILTER (side = 'o'), 0) AS ow,
@@ -263,6 +271,9 @@ _BELIEFS = f"""WITH sided AS (SELECT *, CASE WHEN assertion_status = 'hypothesiz
     canonical_name || ' has ' || sn || ' supporting, ' || os || ' opposing, and ' || hn || ' hypothesized current assertions' AS claim, epoch_us(first) AS valid_from_us FROM named"""
 
 
+_INPUT, _BELIEFS = input_sql(), beliefs_sql()
+
+
 def _beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return belief_ops.revise(facts(spark, sf_dir).filter(current()), entities(spark, sf_dir))
 

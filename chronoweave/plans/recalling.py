@@ -15,16 +15,16 @@ from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
 from chronoweave.operators.history import SINGLE_VALUED
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
+from chronoweave.plans.knowledge import CURRENT_SQL
 from chronoweave.plans.problems import PERIOD_PREDICATES
 from chronoweave.plans.registry import Registry
-from chronoweave.session import checkpointed, shared_folder, table
-from chronoweave.sources.ingest import chunk_envelopes, pack_stream
+from chronoweave.session import shared_folder, table
+from chronoweave.sources.ingest import chunk_envelopes
 from chronoweave.streaming import pipelines
 
 registry = Registry()
 
 QUERY = "pump current"
-QUESTION = "Which tools have the status alarm and are part of a chamber"
 ANCHOR = "2026-01-01 00:00:00"
 _WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '([\p{{L}}\p{{N}}]+)', 1)"
 
@@ -105,12 +105,26 @@ def trigram_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Retrieval.
 
-_LIVE = f"(SELECT * FROM {FACTS} WHERE valid_to IS NULL AND recorded_to IS NULL)"
-_NAMED = f"""(SELECT f.*, s.canonical_name AS subject_name, concat_ws(' ', coalesce(s.canonical_name, '?'), f.predicate, CASE WHEN f.object_type = 'entity' THEN o.canonical_name ELSE json_extract_string(f.object_value, '$.value') END) AS t
-    FROM {_LIVE} f JOIN {ENTITIES} s ON s.entity_id = f.subject_id LEFT JOIN {ENTITIES} o ON o.entity_id = f.object_entity_id)"""
+def live_sql(seen: str = CURRENT_SQL) -> str:
+    return f"(SELECT * FROM {FACTS} WHERE {seen})"
+
+
+def named_sql(live: str) -> str:
+    return f"""(SELECT f.*, s.canonical_name AS subject_name, CASE WHEN f.object_type = 'entity' THEN o.canonical_name ELSE json_extract_string(f.object_value, '$.value') END AS object_text,
+    concat_ws(' ', coalesce(s.canonical_name, '?'), f.predicate, CASE WHEN f.object_type = 'entity' THEN o.canonical_name ELSE json_extract_string(f.object_value, '$.value') END) AS t
+    FROM {live} f JOIN {ENTITIES} s ON s.entity_id = f.subject_id LEFT JOIN {ENTITIES} o ON o.entity_id = f.object_entity_id)"""
+
+
 _PROBE = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
-_NEAR = f"""(SELECT entity_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS distance FROM {ENTITIES}, {_PROBE} WHERE merged_into IS NULL AND len(embedding) = 64
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY 2, 1 LIMIT 5)"""
+
+
+def near_sql(k: int = 5) -> str:
+    return f"""(SELECT entity_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS distance FROM {ENTITIES}, {_PROBE} WHERE merged_into IS NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 ORDER BY 2, 1 LIMIT {k})"""
+
+
+_LIVE = live_sql()
+_NAMED, _NEAR = named_sql(_LIVE), near_sql()
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -126,8 +140,13 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_names(_live(spark, sf_dir), entities(spark, sf_dir))
 
 
-_CHAN_VECTOR = f"""SELECT fact_id, 'vector' AS channel, row_number() OVER (ORDER BY d, fact_id) AS rank FROM (SELECT fact_id, min(distance) AS d FROM (SELECT f.fact_id, n.distance FROM {_LIVE} f JOIN {_NEAR} n ON n.entity_id = f.subject_id
-    UNION ALL SELECT f.fact_id, n.distance FROM {_LIVE} f JOIN {_NEAR} n ON n.entity_id = f.object_entity_id) GROUP BY 1) QUALIFY rank <= 40"""
+def vector_sql(live: str = _LIVE, k: int = 5, limit: int = 40) -> str:
+    near = near_sql(k)
+    return f"""SELECT fact_id, 'vector' AS channel, row_number() OVER (ORDER BY d, fact_id) AS rank FROM (SELECT fact_id, min(distance) AS d FROM (SELECT f.fact_id, n.distance FROM {live} f JOIN {near} n ON n.entity_id = f.subject_id
+    UNION ALL SELECT f.fact_id, n.distance FROM {live} f JOIN {near} n ON n.entity_id = f.object_entity_id) GROUP BY 1) QUALIFY rank <= {limit}"""
+
+
+_CHAN_VECTOR = vector_sql()
 
 
 @registry.add("chan_vector", _CHAN_VECTOR)
@@ -140,13 +159,12 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.nearest_entities(entities(spark, sf_dir), _probe(spark, sf_dir))
 
 
-
-def _lexical_sql(*asked: str) -> str:
-    listed = "[" + ", ".join(f"'{w}'" for w in asked) + "]"
-    return f"""SELECT fact_id, 'lexical' AS channel, row_number() OVER (ORDER BY score DESC, fact_id) AS rank FROM (WITH d AS (SELECT fact_id, t, {_WORDS.format('t')} AS w FROM {_NAMED}), q AS (SELECT unnest({listed}) AS q),
+def _lexical_sql(*asked: str, named: str = _NAMED, limit: int = 40) -> str:
+    listed = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(asked)) + "]"
+    return f"""SELECT fact_id, 'lexical' AS channel, row_number() OVER (ORDER BY score DESC, fact_id) AS rank FROM (WITH d AS (SELECT fact_id, t, {_WORDS.format('t')} AS w FROM {named}), q AS (SELECT unnest({listed}) AS q),
     whole AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d), h AS (SELECT * FROM (SELECT fact_id, q, len(list_filter(w, lambda x: x = q)) AS tf, len(w) AS l FROM d, q) WHERE tf > 0), df AS (SELECT q, count(*) AS df FROM h GROUP BY q),
     s AS (SELECT fact_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM h JOIN df USING (q), whole GROUP BY fact_id)
-    SELECT d.fact_id, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (fact_id) WHERE list_has_all(w, {listed}) OR contains(lower(t), '{" ".join(asked)}')) QUALIFY rank <= 40"""
+    SELECT d.fact_id, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (fact_id) WHERE list_has_all(w, {listed}) OR contains(lower(t), '{" ".join(asked)}')) QUALIFY rank <= {limit}"""
 
 
 _CHAN_LEXICAL = _lexical_sql("status", "alarm")
@@ -157,8 +175,12 @@ def chan_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.lexical_channel(_named(spark, sf_dir), "status alarm")
 
 
-_CHAN_GRAPH = f"""SELECT fact_id, 'graph' AS channel, row_number() OVER (ORDER BY hop, fact_id) AS rank FROM (WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {EDGES_SQL}), walk AS (SELECT entity_id AS at, [entity_id] AS visited, NULL::VARCHAR AS fact_id, 0 AS hop FROM {_NEAR}
-    UNION ALL SELECT e.dst, list_append(w.visited, e.dst), e.fact_id, w.hop + 1 FROM walk w JOIN e ON e.src = w.at WHERE w.hop < 2 AND NOT list_contains(w.visited, e.dst)) SELECT fact_id, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY 1) QUALIFY rank <= 40"""
+def graph_sql(edges: str = EDGES_SQL, limit: int = 40) -> str:
+    return f"""SELECT fact_id, 'graph' AS channel, row_number() OVER (ORDER BY hop, fact_id) AS rank FROM (WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {edges}), walk AS (SELECT entity_id AS at, [entity_id] AS visited, NULL::VARCHAR AS fact_id, 0 AS hop FROM {_NEAR}
+    UNION ALL SELECT e.dst, list_append(w.visited, e.dst), e.fact_id, w.hop + 1 FROM walk w JOIN e ON e.src = w.at WHERE w.hop < 2 AND NOT list_contains(w.visited, e.dst)) SELECT fact_id, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY 1) QUALIFY rank <= {limit}"""
+
+
+_CHAN_GRAPH = graph_sql()
 
 
 @registry.add("chan_graph", _CHAN_GRAPH)
@@ -176,12 +198,16 @@ def chan_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.synonym_channel(_named(spark, sf_dir), _synonyms(spark, sf_dir), "alarm")
 
 
-_CHAN_NAME = f"""WITH names AS (SELECT entity_id, canonical_name AS name FROM {ENTITIES} UNION ALL SELECT a.entity_id, a.alias FROM entity_aliases a), asked AS (SELECT unnest(['Who', 'Process Engineering']) AS asked),
+def name_sql(asked: list[str], live: str = _LIVE, limit: int = 40) -> str:
+    return f"""WITH names AS (SELECT entity_id, canonical_name AS name FROM {ENTITIES} UNION ALL SELECT a.entity_id, a.alias FROM entity_aliases a), asked AS (SELECT unnest({asked!r}) AS asked),
     g AS (SELECT entity_id, asked, name, {_GRAMS.format('name')} AS x, {_GRAMS.format('asked')} AS y FROM names, asked), m AS (SELECT *, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS sim FROM g),
     best AS (SELECT asked, entity_id, max(sim) AS sim FROM m WHERE contains(lower(name), lower(asked)) OR sim > 0.3 GROUP BY 1, 2), top AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY asked ORDER BY sim DESC, entity_id) <= 5),
     near AS (SELECT entity_id, min(1 - sim) AS distance FROM top GROUP BY 1)
-    SELECT fact_id, 'name' AS channel, row_number() OVER (ORDER BY round(d, 6), fact_id) AS rank FROM (SELECT fact_id, min(distance) AS d FROM (SELECT f.fact_id, n.distance FROM {_LIVE} f JOIN near n ON n.entity_id = f.subject_id
-    UNION ALL SELECT f.fact_id, n.distance FROM {_LIVE} f JOIN near n ON n.entity_id = f.object_entity_id) GROUP BY 1) QUALIFY rank <= 40"""
+    SELECT fact_id, 'name' AS channel, row_number() OVER (ORDER BY round(d, 6), fact_id) AS rank FROM (SELECT fact_id, min(distance) AS d FROM (SELECT f.fact_id, n.distance FROM {live} f JOIN near n ON n.entity_id = f.subject_id
+    UNION ALL SELECT f.fact_id, n.distance FROM {live} f JOIN near n ON n.entity_id = f.object_entity_id) GROUP BY 1) QUALIFY rank <= {limit}"""
+
+
+_CHAN_NAME = name_sql(["Who", "Process Engineering"])
 
 
 @registry.add("chan_entity_name", _CHAN_NAME)
@@ -189,7 +215,11 @@ def chan_entity_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.name_channel(_live(spark, sf_dir), entities(spark, sf_dir), table(spark, sf_dir, "entity_aliases"), "Who works with Process Engineering")
 
 
-_CHAN_RECENT = f"SELECT fact_id, 'recency' AS channel, row_number() OVER (ORDER BY valid_from DESC, fact_id) AS rank FROM {_LIVE} WHERE valid_from >= {ts(ANCHOR)} - INTERVAL 30 DAYS QUALIFY rank <= 40"
+def recent_sql(live: str = _LIVE, limit: int = 40, anchor: str = ANCHOR) -> str:
+    return f"SELECT fact_id, 'recency' AS channel, row_number() OVER (ORDER BY valid_from DESC, fact_id) AS rank FROM {live} WHERE valid_from >= {ts(anchor)} - INTERVAL 30 DAYS QUALIFY rank <= {limit}"
+
+
+_CHAN_RECENT = recent_sql()
 
 
 @registry.add("chan_temporal", _CHAN_RECENT)
@@ -215,30 +245,6 @@ def question_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", ret.question_type("text").alias("kind"))
 
 
-def _pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # What several channels read is made once.
-    things, live = checkpointed(entities(spark, sf_dir)), checkpointed(_live(spark, sf_dir))
-    args = (live, things, table(spark, sf_dir, "entity_aliases"), edges_of(spark, sf_dir), checkpointed(with_names(live, things)))
-    return ret.recall(*args, QUESTION, _probe(spark, sf_dir), ANCHOR, synonyms=_synonyms(spark, sf_dir))
-
-
-@registry.add("recall_pack")
-def recall_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence for a question: six channels, fused and reranked."""
-    return _pack(spark, sf_dir).select("rank", "fact_id", "score", "relevance", "subject_name", "predicate", "object_text")
-
-
-@registry.add("answer_text")
-def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context block of a pack with its citations."""
-    return ret.context_block(_pack(spark, sf_dir))
-
-
-@registry.add("pack_events")
-def pack_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_stream(_pack(spark, sf_dir))
-
-
 @registry.add(
     "pack_budget",
     f"SELECT scope, fact_id, rank FROM (SELECT scope, fact_id, row_number() OVER w AS rank, sum(greatest(1, length(t) // 3)) OVER (w ROWS UNBOUNDED PRECEDING) AS used FROM {_NAMED} WINDOW w AS (PARTITION BY scope ORDER BY valid_from DESC, fact_id)) WHERE rank = 1 OR used <= 200",

@@ -176,10 +176,3 @@ def export_lines(events: DataFrame, facts: DataFrame, beliefs: DataFrame | None
         return a.unionByName(b)
     c = beliefs.select(F.lit("belief").alias("kind"), F.col("valid_from_us").alias("ordinal_us"), F.concat_ws("|", "scope", "about_entity_id").alias("id"), _json(type=F.lit("belief"), scope=F.col("scope"), about=F.col("about_entity_id"), stance=F.col("stance"), claim=F.col("claim"), confidence=F.col("confidence"), valid_from=F.timestamp_micros("valid_from_us")).alias("line"))
     return a.unionByName(b).unionByName(c)
-
-
-def pack_stream(pack: DataFrame) -> DataFrame:
-    """A pack as an ordered stream of events: plan, a row per fact, done: ``seq``, ``event``, ``data``."""
-    facts = pack.select((F.col("rank") + 1).cast("int").alias("seq"), F.lit("fact").alias("event"), F.col("fact_id").alias("data"))
-    ends = pack.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("plan").alias("event"), F.lit("").alias("data")), F.struct((F.col("n") + 2).cast("int").alias("seq"), F.lit("done").alias("event"), F.col("n").cast("string").alias("data")))).alias("e")).select("e.*")
-    return ends.unionByName(facts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import ontology, text
 from chronoweave.functions.scopes import in_view, parent, prefix_list, prefixes
 from chronoweave.functions.vectors import cosine
-from chronoweave.operators import beliefs, episodes, facts, governance, graph, retrieval
+from chronoweave.operators import beliefs, episodes, facts, governance, graph, packs, retrieval
 from chronoweave.sources import ingest
 from chronoweave.streaming import pipelines
 
@@ -210,10 +210,20 @@ def test_retrieval(spark):
     scores = spark.createDataFrame([("f1", 0.1, 1), ("f2", 0.2, 1)], "fact_id string, score double, n_channels int")
     assert [r.fact_id for r in retrieval.rerank(named, scores, "acme signed").collect()] == ["f1"]
     assert [r.fact_id for r in retrieval.rerank(named, scores, "zebra").orderBy("rank").collect()] == ["f2", "f1"]
-    block = retrieval.context_block(retrieval.rerank(named, scores, "zebra")).first()
+    block = packs.context_block(retrieval.rerank(named, scores, "zebra")).first()
     assert block.context_block == "[1] Bob owns car; [2] Acme deal_stage signed" and block.citations == "[1]=f2,[2]=f1"
-    stream = retrieval.rerank(named, scores, "zebra")
-    assert [r.event for r in ingest.pack_stream(stream).orderBy("seq").collect()] == ["plan", "fact", "fact", "done"]
+    pack = retrieval.rerank(named, scores, "zebra").withColumn("supports", F.array(F.lit("ev1"), F.concat(F.lit("ev"), "fact_id"))).withColumn("confidence", F.lit(0.5)).withColumn("polarity", F.lit("positive")).withColumn("assertion_status", F.lit("observed")).withColumn("subject_id", F.concat(F.lit("e"), "fact_id"))
+    believed = spark.createDataFrame([("s", "ef1", "likely_true", 0.9, "x"), ("s", "ef2", "likely_true", 0.9, "y"), ("s", "other", "uncertain", 0.1, "z")], "scope string, about_entity_id string, stance string, confidence double, claim string")
+    log = spark.createDataFrame([("ev1", "note", "a", "c" * 400), ("evf2", "note", "a", "c" * 400)], "event_id string, modality string, observed_actor string, content string")
+    layers = lambda **limits: {(r.layer, r["rank"], r.id) for r in packs.layers(pack, believed, log, **limits).collect()}
+    both = {("facts", 1, "f2"), ("facts", 2, "f1"), ("beliefs", 1, "s|ef2"), ("beliefs", 2, "s|ef1"), ("events", 1, "ev1"), ("events", 2, "evf2")}
+    assert layers() == both and layers(facts=1, most_beliefs=1, most_events=1) == {("facts", 1, "f2"), ("beliefs", 1, "s|ef2"), ("events", 1, "ev1")}
+    assert layers(max_tokens=1) == {("facts", 1, "f2"), ("beliefs", 1, "s|ef2"), ("beliefs", 2, "s|ef1")}
+    rows = packs.layers(pack, believed, log, exclude_content=True)
+    assert all("ccc" not in r.body and "supports" not in r.body for r in rows.collect())
+    assert [r.event for r in packs.stream(pack, rows, packs.context_block(pack)).orderBy("seq").collect()] == ["plan", "fact", "fact", "belief", "belief", "event", "event", "context", "done"]
+    assert tuple(packs.context_block(pack, "none").first()) == ("", "") and packs.context_block(pack, "structured_only").first().citations == block.citations
+    assert packs.short_answer(pack.limit(0)).first().answer == "Nothing is remembered."
     items = spark.createDataFrame([(1, 50), (2, 5), (3, 5), (4, 1)], "i int, n int")
     assert [r.i for r in retrieval.within_budget(items, ["i"], "n", 56).collect()] == [1, 2]
     assert [r.i for r in retrieval.within_budget(items, ["i"], "n", 10).collect()] == [1]
