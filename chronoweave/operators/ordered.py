@@ -110,6 +110,15 @@ class Ordered:
             df = df.withColumn(into, F.col(into) + F.coalesce("__carry", F.lit(0))).drop("__carry")
         return self._with(df)
 
+    def first(self, cols: Sequence[str], into: str) -> Ordered:
+        """Struct ``into`` with ``cols`` of the group's first row."""
+        row = F.struct(*cols)
+        df = self.df.withColumn(into, F.first(row).over(self._window().rowsBetween(Window.unboundedPreceding, 0)))
+        if self.chunked:
+            df = self._carry(df, F.min_by(row, F.struct(*self.order)), lambda w: F.first("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), False)
+            df = df.withColumn(into, F.coalesce("__carry", into)).drop("__carry")
+        return self._with(df)
+
     def max_before(self, col: str, into: str) -> Ordered:
         """Maximum of ``col`` over the group's rows before this one, null at the first."""
         w = self._window().rowsBetween(Window.unboundedPreceding, -1)

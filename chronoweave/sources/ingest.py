@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.scopes import parent, prefixes
-from chronoweave.operators.ordered import MIN_HOT_ROWS, Ordered, skew_safe_lookup
+from chronoweave.operators.ordered import MIN_HOT_ROWS, Ordered
 
 ENVELOPE = "scope string, modality string, content string, context string, idempotency_key string, observed_at string"
 
@@ -29,14 +29,13 @@ def admitted(envelopes: DataFrame, order: list[str], min_rows: int = MIN_HOT_ROW
     with the same body, conflict for those with another. Rows without a key or scope are all accepted.
 
     Of rows that are equal in ``order`` the smallest body comes first, of equal bodies any. The deliveries of a key are
-    counted by :class:`Ordered` and its first body is looked up, so that no hot key goes through one task.
+    counted and compared with its first by :class:`Ordered`, so that bodies are read once and no hot key goes through one
+    task.
     """
     keys = ["scope", "idempotency_key"]
     rows = envelopes.withColumn("body", body_hash())
     keyed = rows.filter(F.col("idempotency_key").isNotNull() & F.col("scope").isNotNull()).withColumn("__1", F.lit(1))
-    heads = keyed.groupBy(*keys).agg(F.min(F.struct(*order, "body")).alias("__head"))
-    counted = Ordered(keyed, keys, [*order, "body"], min_rows).running_sum("__1", "__n").result()
-    met = skew_safe_lookup(counted, heads, keys, min_rows)
+    met = Ordered(keyed, keys, [*order, "body"], min_rows).running_sum("__1", "__n").first(["body"], "__head").result()
     status = F.when(F.col("__n") == 1, "accepted").when(F.col("body") == F.col("__head.body"), "duplicate").otherwise("conflict")
     free = rows.filter(F.col("idempotency_key").isNull() | F.col("scope").isNull()).withColumn("status", F.lit("accepted"))
     return met.withColumn("status", status).drop("__head", "__1", "__n").unionByName(free)

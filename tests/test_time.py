@@ -35,8 +35,8 @@ def test_hot_keys(skewed):
 def test_chunks_change_nothing(skewed):
     def run(min_rows):
         o = Ordered(skewed, ["k"], ["t"], min_rows, 16)
-        o = o.lag(["v"], "before").lead(["v", "t"], "after").running_sum("v", "total").max_before("v", "most")
-        return o.chunked, rows_of(o.result().select("k", "t", "v", "before.v", F.col("after.t").alias("x"), "total", "most"))
+        o = o.lag(["v"], "before").lead(["v", "t"], "after").running_sum("v", "total").max_before("v", "most").first(["t"], "head")
+        return o.chunked, rows_of(o.result().select("k", "t", "v", "before.v", F.col("after.t").alias("x"), "total", "most", F.col("head.t").alias("h")))
 
     plain, chunked = run(10_000), run(3)
     assert not plain[0] and chunked[0]
