@@ -6,7 +6,8 @@ aggregation with map-side combination and one join on a table with at most one r
 edges, every node is linked to its component's smallest node (Kiveris et al., Connected Components in MapReduce, 2014).
 
 A hub that is an end of a large part of all edges is no problem for the aggregations, and its rows in the joins are
-split off by :func:`skew_safe_lookup`. Between rounds the edges are written to the shared checkpoint folder.
+split off by :func:`skew_safe_lookup`. Between rounds the edges are written to the shared folder; those of the round before
+are deleted.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.operators.ordered import MIN_HOT_ROWS, skew_safe_lookup
-from chronoweave.session import checkpointed
+from chronoweave.session import discard, written
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -41,11 +42,12 @@ def connected_groups(pairs: DataFrame, a: str, b: str, max_rounds: int = 60, min
     nothing; other columns are ignored. An empty table gives no rows. The ids may be of any type that has an order.
     """
     measure = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-    edges = checkpointed(_directed(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))))
+    edges, folder = written(_directed(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))))
     mark = measure(edges)
     for _ in range(max_rounds):
         # Neither rewrite adds edges, so the count rules hot keys out for the whole round.
-        edges = checkpointed(small_star(large_star(edges, min_rows, mark[0]), min_rows, mark[0]))
+        last, (edges, folder) = folder, written(small_star(large_star(edges, min_rows, mark[0]), min_rows, mark[0]))
+        discard(pairs.sparkSession, last)
         before, mark = mark, measure(edges)
         if mark == before:
             break
