@@ -69,3 +69,23 @@ def lifecycle_after(lifecycle: DataFrame, ts: str | datetime, last_id: str, n: i
 def latest_stage(lifecycle: DataFrame) -> DataFrame:
     """The last lifecycle event of each event: ``event_id``, ``kind``, ``ts``."""
     return lifecycle.groupBy("event_id").agg(F.max(F.struct("ts", "lifecycle_id", "kind")).alias("b")).select("event_id", "b.kind", "b.ts")
+
+
+def emitted(rows: DataFrame, kind: str, key: str, at: str, scope: str = "scope") -> DataFrame:
+    """Lifecycle events of one kind for rows: ``lifecycle_id`` (a hash of kind, key and time: emitting twice adds nothing
+    new), ``event_id``, ``scope``, ``kind``, ``ts``. Rows without a time have none."""
+    told = rows.filter(F.col(at).isNotNull())
+    name = F.sha2(F.concat_ws("|", F.lit(kind), key, F.unix_micros(at).cast("string")), 256)
+    return told.select(name.alias("lifecycle_id"), F.col(key).alias("event_id"), F.col(scope).alias("scope"), F.lit(kind).alias("kind"), F.col(at).alias("ts"))
+
+
+def erasure_jobs(jobs: DataFrame, phases: tuple[str, ...] | None = None) -> DataFrame:
+    """Erasure jobs (erasure_id, scope, phase, requested_at), newest first, of some phases only if asked."""
+    rows = jobs if phases is None else jobs.filter(F.col("phase").isin(*phases))
+    return rows.orderBy(F.desc_nulls_last("requested_at"), "erasure_id")
+
+
+def cancelled(jobs: DataFrame, erasure_id: str) -> DataFrame:
+    """``jobs`` with one cancelled, which only a job in its first two phases can be."""
+    may = (F.col("erasure_id") == erasure_id) & F.col("phase").isin("enumerate", "delete")
+    return jobs.withColumn("phase", F.when(may, "cancelled").otherwise(F.col("phase")))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.ontology import SINGLE_FALLBACK
+from chronoweave.functions.ontology import SINGLE_FALLBACK, vocabulary
 from chronoweave.functions.temporal import current
 from chronoweave.operators import beliefs as belief_ops
+from chronoweave.functions.vectors import enriched
+from chronoweave.operators import episodes as episode_ops
 from chronoweave.operators import extraction, tables
 from chronoweave.operators import governance as gov
 from chronoweave.operators.history import SINGLE_VALUED
-from chronoweave.plans.common import ENTITIES, EVENTS, FACTS, NOW, SCOPE, entities, events, facts
-from chronoweave.plans.knowledge import _TOPICS
+from chronoweave.plans.common import AREA, ENTITIES, EVENTS, FACTS, NOW, SCOPE, entities, events, facts, ts
+from chronoweave.plans.knowledge import _MEMBERS, _TOPICS
 from chronoweave.plans.registry import Registry
 from chronoweave.session import checkpointed, table
+from chronoweave.sources.ingest import scopes_of
 
 registry = Registry()
 
@@ -101,7 +104,7 @@ def forget_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases as the table the reference keeps, made of the events that name one."""
+    """A table of cases, made of the events that name one."""
     rows = events(spark, sf_dir).filter(F.col("case_id").isNotNull())
     per = rows.groupBy("case_id").agg(F.min("scope").alias("scope"), F.min("observed_actor").alias("equipment"), F.count(F.lit(1)).alias("n_events"))
     return per.select("case_id", "scope", F.concat(F.lit("Case "), "case_id").alias("title"), "equipment", F.lit(None).cast("string").alias("root_cause"), F.lit(None).cast("string").alias("resolution"), F.when(F.col("n_events") > 2, "investigating").otherwise("open").alias("status"), F.lit("observation").alias("phase"), "n_events")
@@ -130,3 +133,71 @@ def concepts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = entities(spark, sf_dir)
     live = facts(spark, sf_dir).filter(current())
     return belief_ops.topics(belief_ops.revise(live, names), live, names).filter(F.col("scope") == SCOPE).orderBy("topic").limit(20).select("scope", "topic", "summary")
+
+
+@registry.add("scopes_prefix", "WITH RECURSIVE up AS (SELECT DISTINCT scope AS s FROM event_log WHERE scope IS NOT NULL UNION SELECT regexp_replace(s, '/[^/]*$', '') FROM up WHERE contains(s, '/')) SELECT s AS scope_path FROM up WHERE starts_with(s, 'org:norvane/fab2')")
+def scopes_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes by the beginning of their path."""
+    return scopes_of(table(spark, sf_dir, "event_log")).filter(F.col("scope_path").startswith(AREA)).select("scope_path")
+
+
+@registry.add("refcount_all", f"{_MEMBERS}, links AS (SELECT scope, event_id FROM (SELECT DISTINCT fact_id, scope, unnest(supports) AS event_id FROM {FACTS}) UNION ALL SELECT scope, event_id FROM members) SELECT e.scope, e.event_id, count(l.event_id) AS refcount FROM {EVENTS} e LEFT JOIN links l ON l.scope = e.scope AND l.event_id = e.event_id GROUP BY 1, 2")
+def refcount_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many facts and episodes rest on each event."""
+    log = events(spark, sf_dir)
+    return gov.reference_counts(log, facts(spark, sf_dir), episode_ops.episodes(log)[0])
+
+
+@registry.add("vocab_seed", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}')" for p, c in vocabulary()) + ") AS t(predicate, cardinality)")
+def vocab_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicates of the ontology with their cardinality, as rows to seed a vocabulary with."""
+    return spark.createDataFrame(vocabulary(), "predicate string, cardinality string")
+
+
+@registry.add("phrase_changes", "SELECT * FROM (VALUES ('last week', '-P14D..P0D'), ('last month', '-P30D..P0D'), ('this shift', '-PT8H..P0D')) AS t(name, expression)")
+def phrase_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time phrases after an upsert by lower-case name: one changed, one added."""
+    rows = spark.createDataFrame([("last week", "-P7D..P0D"), ("last month", "-P30D..P0D")], "name string, expression string")
+    changes = spark.createDataFrame([("Last Week", "-P14D..P0D"), ("This shift", "-PT8H..P0D")], rows.schema)
+    return tables.upsert(rows, changes.withColumn("name", F.lower("name")), ["name"])
+
+
+@registry.add("pack_cache", f"SELECT scope AS key, arg_max(event_id, (recorded_at, event_id)) AS value FROM {EVENTS} WHERE recorded_at <= {ts(NOW)} AND recorded_at > {ts(NOW)} - INTERVAL 31536000 SECONDS GROUP BY 1")
+def pack_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest entry of a cache per key that hasn't expired."""
+    cache = events(spark, sf_dir).select(F.col("scope").alias("key"), F.col("recorded_at").alias("created_at"), F.col("event_id").alias("value"))
+    return tables.unexpired(cache, NOW, 31_536_000).select("key", "value")
+
+
+@registry.add("lifecycle_emit", f"SELECT kind, count(DISTINCT event_id) AS n, max(epoch_us(ts)) AS last_us FROM (SELECT event_id, 'captured' AS kind, observed_at AS ts FROM {EVENTS} UNION ALL SELECT event_id, 'indexed', recorded_at FROM {EVENTS}) WHERE ts IS NOT NULL GROUP BY 1")
+def lifecycle_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lifecycle that events leave behind, emitted twice and kept once."""
+    log = events(spark, sf_dir)
+    rows = tables.emitted(log, "captured", "event_id", "observed_at").unionByName(tables.emitted(log, "indexed", "event_id", "recorded_at"))
+    return rows.unionByName(rows).dropDuplicates(["lifecycle_id"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("ts")).alias("last_us"))
+
+
+@registry.add("entities_enriched", f"SELECT entity_id, 64 AS n FROM {ENTITIES} WHERE embedding IS NULL AND merged_into IS NULL AND canonical_name IS NOT NULL ORDER BY entity_id LIMIT 100")
+def entities_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next hundred entities to embed (one round of the worker), with their vectors' sizes."""
+    return enriched(entities(spark, sf_dir)).select("entity_id", F.size("embedding").cast("long").alias("n"))
+
+
+@registry.add("concepts_named", f"SELECT scope, count(*) AS n FROM ({_TOPICS}) WHERE contains(lower(topic), 'e') GROUP BY 1")
+def concepts_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many concepts of each scope have a text in their name."""
+    names, live = entities(spark, sf_dir), facts(spark, sf_dir).filter(current())
+    found = belief_ops.topics(belief_ops.revise(live, names), live, names)
+    return found.filter(F.contains(F.lower("topic"), F.lit("e"))).groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PHASES = "CASE WHEN embed_status = 'done' THEN 'completed' WHEN embed_status = 'pending' THEN 'enumerate' ELSE 'delete' END"
+
+
+@registry.add("erasure_status", f"SELECT scope, phase, count(*) AS n FROM (SELECT event_id, scope, CASE WHEN event_id = (SELECT min(event_id) FROM {EVENTS} WHERE embed_status = 'pending') THEN 'cancelled' ELSE {_PHASES} END AS phase FROM {EVENTS}) WHERE phase <> 'completed' GROUP BY 1, 2")
+def erasure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open erasure jobs (one for each event here) by scope and phase, after the first of them was cancelled."""
+    status = F.col("embed_status")
+    jobs = events(spark, sf_dir).select(F.col("event_id").alias("erasure_id"), "scope", F.when(status == "done", "completed").when(status == "pending", "enumerate").otherwise("delete").alias("phase"), F.col("recorded_at").alias("requested_at"))
+    first = jobs.filter(F.col("phase") == "enumerate").agg(F.min("erasure_id")).first()[0]
+    return tables.erasure_jobs(tables.cancelled(jobs, first or ""), ("enumerate", "delete", "cancelled")).groupBy("scope", "phase").agg(F.count(F.lit(1)).alias("n"))
