@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions.temporal import current, micros
-from chronoweave.functions.text import NARROW, SENSITIVE_TYPES, WIDE, context_key, identity_patterns, identity_tokens, may_be_same
+from chronoweave.functions.text import CONTEXT_FIELDS, NARROW, SENSITIVE_TYPES, TYPE_FIELDS, WIDE, context_key, identity_patterns, identity_tokens, may_be_same
 from chronoweave.functions.vectors import cosine, usable
 from chronoweave.operators import beliefs as belief_ops
 from chronoweave.operators import episodes as episode_ops
@@ -379,7 +379,19 @@ def entity_link_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("q_id").alias("entity_id"), F.when(F.col("s") >= 0.85, "reuse").when(F.col("s") >= 0.3, "ask").otherwise("new").alias("branch"))
 
 
-@registry.add("context_keys")
+def context_sql() -> str:
+    """The key from its statement: fields in order of their names, the first source that isn't blank, in one spelling, and
+    only if they matter to the type."""
+    fields = []
+    for name, sources in sorted(CONTEXT_FIELDS.items()):
+        found = ", ".join(f"CASE WHEN trim(json_extract_string(c, '$.{x}')) <> '' THEN json_extract_string(c, '$.{x}') END" for x in sources)
+        kinds = ", ".join(f"'{t}'" for types, names in TYPE_FIELDS.items() if name in names for t in types)
+        value = f"CASE WHEN lower(trim(entity_type)) IN ({kinds}) THEN lower(trim(regexp_replace(coalesce({found}), '\\s+', ' ', 'g'))) END"
+        fields.append(f"""'"{name}":' || to_json(nullif({value}, ''))""")
+    return f"SELECT entity_id, '{{' || concat_ws(',', {', '.join(fields)}) || '}}' AS key FROM (SELECT *, CASE WHEN json_valid(identity_context) THEN identity_context END AS c FROM {ENTITIES})"
+
+
+@registry.add("context_keys", context_sql())
 def context_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity key of every entity's context, by type."""
     return entities(spark, sf_dir).select("entity_id", context_key("identity_context", "entity_type").alias("key"))
@@ -400,7 +412,11 @@ def identity_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity_id", F.array_join(identity_tokens("canonical_name"), "|").alias("tokens"))
 
 
-@registry.add("alias_compatible", f"SELECT DISTINCT a.entity_id, a.alias, (coalesce(lower(trim(e.entity_type)), '') NOT IN ('component','controller','measurement','metrology_result','process_param','recipe','recipe_revision','sensor') OR {_tok('e.canonical_name')} = {_tok('a.alias')}) AS compatible FROM entity_aliases a JOIN {ENTITIES} e USING (entity_id)")
+def compatible_sql(name: str, other: str, kind: str) -> str:
+    return f"(coalesce(lower(trim({kind})), '') NOT IN ({_SENSITIVE}) OR {_tok(name)} = {_tok(other)})"
+
+
+@registry.add("alias_compatible", f"SELECT DISTINCT a.entity_id, a.alias, {compatible_sql('e.canonical_name', 'a.alias', 'e.entity_type')} AS compatible FROM entity_aliases a JOIN {ENTITIES} e USING (entity_id)")
 def alias_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an alias may mean its entity: sensitive types need equal identity tokens."""
     rows = table(spark, sf_dir, "entity_aliases").select("entity_id", "alias").distinct().join(entities(spark, sf_dir).select("entity_id", "canonical_name", "entity_type"), "entity_id")

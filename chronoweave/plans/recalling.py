@@ -15,7 +15,7 @@ from chronoweave.operators import retrieval as ret
 from chronoweave.operators.facts import with_names
 from chronoweave.operators.history import SINGLE_VALUED
 from chronoweave.plans.common import EDGES_SQL, ENTITIES, EVENTS, FACTS, NOW, SCOPE, edges_of, entities, events, facts, ts
-from chronoweave.plans.knowledge import CURRENT_SQL
+from chronoweave.plans.knowledge import CURRENT_SQL, compatible_sql, context_sql
 from chronoweave.plans.problems import PERIOD_PREDICATES
 from chronoweave.plans.registry import Registry
 from chronoweave.session import shared_folder, table
@@ -413,12 +413,28 @@ def queries_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ret.best_ranks([ret.lexical_channel(named, "status alarm"), ret.lexical_channel(named, "part of")])
 
 
-@registry.add("entity_resolve")
+_FIT = "len({0}) = 64 AND len(list_filter({0}, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter({0}, lambda x: x <> 0)) > 0"
+_RESOLVED = f"""WITH m AS (SELECT e.scope, coalesce(e.entity_type, '') AS kind, k.key, lower(trim(e.canonical_name)) AS folded, e.created_at, e.canonical_name AS name, e.embedding FROM {ENTITIES} e JOIN ({context_sql()}) k USING (entity_id) WHERE e.merged_into IS NOT NULL),
+asked AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY scope, kind, key, folded ORDER BY created_at NULLS FIRST, name NULLS FIRST, embedding NULLS FIRST) = 1),
+live AS (SELECT entity_id, scope, coalesce(entity_type, '') AS kind, coalesce(context_key, '{{}}') AS e_key, canonical_name, embedding AS e_vec FROM {ENTITIES} WHERE merged_into IS NULL),
+names AS (SELECT entity_id, lower(trim(canonical_name)) AS folded FROM live UNION SELECT entity_id, lower(trim(alias)) FROM entity_aliases),
+known AS (SELECT l.entity_id, l.scope, l.kind, l.e_key, n.folded FROM names n JOIN live l USING (entity_id)),
+counted AS (SELECT a.scope, a.kind, a.key, a.folded, count(*) AS n, count(*) FILTER (WHERE e_key = key) AS n_same, min(entity_id) FILTER (WHERE e_key = key) AS same, min(entity_id) AS one, max(e_key) AS one_key
+    FROM asked a JOIN known k ON k.scope = a.scope AND k.kind = a.kind AND k.folded = a.folded GROUP BY 1, 2, 3, 4),
+decided AS (SELECT a.*, c.n, CASE WHEN a.key <> '{{}}' AND n_same = 1 THEN same WHEN a.key = '{{}}' AND n = 1 THEN one END AS exact, CASE WHEN a.key <> '{{}}' AND n_same = 0 AND n = 1 AND one_key = '{{}}' THEN one END AS adopted FROM asked a LEFT JOIN counted c USING (scope, kind, key, folded)),
+pairs AS (SELECT d.scope, d.kind, d.key, d.folded, d.name, l.entity_id, l.canonical_name, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(l.e_vec AS DOUBLE[])), 6) AS sim FROM decided d JOIN live l ON l.scope = d.scope AND l.kind = d.kind AND l.e_key = d.key
+    WHERE d.n IS NULL AND {_FIT.format('d.embedding')} AND {_FIT.format('l.e_vec')}),
+best AS (SELECT scope, kind, key, folded, max(sim) AS sim, arg_max(entity_id, (sim, entity_id)) AS entity_id FROM (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY scope, kind, key, folded ORDER BY sim DESC, entity_id) <= 5) WHERE {compatible_sql('name', 'canonical_name', 'kind')} GROUP BY 1, 2, 3, 4)
+SELECT d.scope, d.kind AS entity_type, d.key AS context_key, d.name, coalesce(exact, adopted, CASE WHEN sim >= 0.85 THEN b.entity_id END, sha256(concat_ws('|', d.scope, d.kind, d.key, d.folded))) AS entity_id,
+    CASE WHEN exact IS NOT NULL THEN 'exact' WHEN adopted IS NOT NULL THEN 'adopted' WHEN sim >= 0.85 THEN 'reuse' WHEN sim >= 0.3 THEN 'ask' ELSE 'new' END AS branch, sim AS similarity FROM decided d LEFT JOIN best b USING (scope, kind, key, folded)"""
+
+
+@registry.add("entity_resolve", _RESOLVED)
 def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What linking makes of every alias as a mention: the branch and the entity."""
+    """What linking makes of the entities that were merged away, taken as new mentions: the branch and the live entity."""
     things = entities(spark, sf_dir)
-    mentions = table(spark, sf_dir, "entity_aliases").join(things.select("entity_id", "entity_type", F.col("identity_context").alias("context"), "embedding"), "entity_id")
-    mentions = mentions.select("scope", F.col("alias").alias("name"), "entity_type", "context", "embedding", F.unix_micros("created_at").alias("ordinal"))
+    gone = things.filter(F.col("merged_into").isNotNull())
+    mentions = gone.select("scope", F.col("canonical_name").alias("name"), "entity_type", F.col("identity_context").alias("context"), "embedding", F.unix_micros("created_at").alias("ordinal"))
     return identity.resolve(mentions, things, table(spark, sf_dir, "entity_aliases"))
 
 
