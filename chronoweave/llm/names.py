@@ -16,6 +16,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -412,8 +413,13 @@ def token_keys(kind: str, surname: str, tokens: list[str]) -> list[tuple[int, st
     return out
 
 
+def hashed(*keys: str) -> int:
+    """A key as a number. Two keys with one number only make names meet that are then found to differ."""
+    return xxhash.xxh64_intdigest(SEP.join(sorted(keys))) - 2**63
+
+
 def indexed(forms: DataFrame) -> DataFrame:
-    """``form``, ``key``: the keys at which forms of a scope and kind meet.
+    """``id``, ``key``: the keys (as numbers) at which numbered forms of a scope and kind meet.
 
     Names of persons agree in two tokens at least, so a key with more than ``HOT`` forms (a frequent given name) is met
     with a key of another token: two names that share no rarer key share such a pair.
@@ -422,34 +428,36 @@ def indexed(forms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for form, scope, kind, surname, tokens in zip(*(batch[c] for c in ("form", "scope", "kind", "surname", "tokens")), strict=True):
-                out += [(form, kind, no, SEP.join((scope, kind, key))) for no, key in token_keys(kind, surname, tokens.split(BETWEEN))]
-            yield pd.DataFrame(out, columns=["form", "kind", "no", "key"])
+            for form, scope, kind, surname, tokens in zip(*(batch[c] for c in ("id", "scope", "kind", "surname", "tokens")), strict=True):
+                out += [(form, kind == "person", no, hashed(scope, kind, key)) for no, key in token_keys(kind, surname, tokens.split(BETWEEN))]
+            yield pd.DataFrame(out, columns=["id", "person", "no", "key"])
 
     def couples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = set()
-            for form, keys in zip(batch["form"], batch["keys"], strict=True):
-                out |= {(form, SEP.join(sorted((x["key"], y["key"])))) for x, y in combinations(keys, 2) if x["no"] != y["no"]}
-            yield pd.DataFrame(sorted(out), columns=["form", "key"])
+            for form, keys in zip(batch["id"], batch["keys"], strict=True):
+                out |= {(form, hashed(str(x["key"]), str(y["key"]))) for x, y in combinations(keys, 2) if x["no"] != y["no"]}
+            yield pd.DataFrame(sorted(out), columns=["id", "key"])
 
-    keys = checkpointed(forms.select("form", "scope", "kind", "surname", "tokens").mapInPandas(run, "form string, kind string, no int, key string"))
-    many = keys.filter(F.col("kind") == "person").groupBy("key").agg(F.count_distinct("form").alias("n")).filter(F.col("n") > HOT).select("key")
-    single = keys.join(many, "key", "left_anti").select("form", "key")
-    hot = keys.join(many, "key", "left_semi").groupBy("form").agg(F.collect_list(F.struct("no", "key")).alias("keys"))
-    return checkpointed(single.unionByName(hot.mapInPandas(couples, "form string, key string")).distinct())
+    keys = checkpointed(forms.select("id", "scope", "kind", "surname", "tokens").mapInPandas(run, "id long, person boolean, no int, key long"))
+    many = keys.filter("person").groupBy("key").agg(F.count_distinct("id").alias("n")).filter(F.col("n") > HOT).select("key")
+    single = keys.join(many, "key", "left_anti").select("id", "key")
+    hot = keys.join(many, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("no", "key")).alias("keys"))
+    return checkpointed(single.unionByName(hot.mapInPandas(couples, "id long, key long")).distinct())
 
 
 def similar_forms(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``errors``: forms of left and right that agree. With the same frame on both sides each pair
+    """``a``, ``b``, ``errors``: numbered forms of left and right that agree. With the same frame on both sides each pair
     once; loose ones (``LOOSE`` errors and more) with the name that is the shorter as ``a``.
 
-    ``keys`` are those of all forms (``indexed``); pairs met at several keys are verified once.
+    ``keys`` are those of all forms (``indexed``). Pairs met at several keys are numbers until they are one; then their
+    names are fetched and verified.
     """
     same = left is right
-    x = keys.join(left.select("form"), "form", "left_semi").withColumnRenamed("form", "a")
-    y = keys.join(right.select("form"), "form", "left_semi").withColumnRenamed("form", "b")
-    pairs = x.join(y, "key").filter(F.col("a") < F.col("b") if same else F.col("a") != F.col("b")).select("a", "b").distinct()
+    x = keys.join(left.select("id"), "id", "left_semi").withColumnRenamed("id", "x")
+    y = keys.join(right.select("id"), "id", "left_semi").withColumnRenamed("id", "y")
+    pairs = x.join(y, "key").filter(F.col("x") < F.col("y") if same else F.col("x") != F.col("y")).select("x", "y").distinct()
+    pairs = pairs.join(left.select(F.col("id").alias("x"), F.col("form").alias("a")), "x").join(right.select(F.col("id").alias("y"), F.col("form").alias("b")), "y").select("a", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -490,8 +498,9 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     entity = F.concat(F.lit("e"), "entity_id")
     node = F.concat(F.lit("f"), "form")
     strong = held.filter(F.col("form_kind") != "weak")
-    full = checkpointed(held.filter(F.col("form_kind") == "full").drop("entity_id").distinct())
-    keys = indexed(held.filter(F.col("form_kind") != "handle").drop("entity_id").distinct())
+    forms = checkpointed(held.filter(F.col("form_kind") != "handle").drop("entity_id").distinct().withColumn("id", F.monotonically_increasing_id()))
+    full = forms.filter(F.col("form_kind") == "full").select("id", "form")
+    keys = indexed(forms)
     edges = strong.select(entity.alias("a"), node.alias("b"))
     of_full = checkpointed(similar_forms(full, full, keys))
     alike = of_full.filter(F.col("errors") < LOOSE).select(F.concat(F.lit("f"), "a").alias("a"), F.concat(F.lit("f"), "b").alias("b"))
@@ -507,7 +516,7 @@ def link_names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     # Entities without any full name, by their weak forms.
     sure = strong.filter(F.col("form_kind") == "full").select("entity_id").distinct()
     weak = held.filter(F.col("form_kind") == "weak").join(sure, "entity_id", "left_anti")
-    weak_forms = checkpointed(weak.drop("entity_id").distinct())
+    weak_forms = checkpointed(forms.select("id", "form").join(weak.select("form"), "form", "left_semi"))
     met = checkpointed(similar_forms(weak_forms, full, keys).join(group_of.withColumnRenamed("form", "b"), "b").select("a", "group_id", "errors"))
     chosen = checkpointed(the_best(met))
     to_group = weak.join(chosen.withColumnRenamed("a", "form"), "form").select(entity.alias("a"), F.col("group_id").alias("b"))
